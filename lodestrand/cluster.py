@@ -65,3 +65,28 @@ def drop_written(*dfs: DataFrame) -> None:
 def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A written table, hinted for broadcast if its rows at row_bytes each stay within limit; else as it is, to be joined by shuffle."""
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, wherever they run, once for each application."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as d:  # the driver's own, only until Spark has taken the file to serve it
+        name = Path(d) / "lodestrand-package.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        served = f"{shared_dir(spark)}/lodestrand-tables/{uuid.uuid4().hex}.zip"
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(served)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(hadoop.Path(str(name)), path)
+    sc.addPyFile(served)
+    _shipped.add(sc.applicationId)
