@@ -32,7 +32,7 @@ class Params:
     #: Weight of a node among its siblings, by path: ('d0',), ('d0', 'en'), ('d0', 'en', 'src3'). 1 where none is given.
     weights: dict[Path, float] = field(default_factory=dict)
     #: Budget of the root, as a share of all tokens.
-    share: float = 0.6
+    share: float = 1.0
     max_epochs: int = 4
     seed: int = 17
     slices_hex: int = 3

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, mixing, packing, toxicity
+from . import exact, langid, mixing, near, packing, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(table(spark, sf_dir, "documents"))
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.language(docs, langid.train(docs))
@@ -32,7 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op7_language, op8_toxicity, op9_mixing, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op5_near_copies, op7_language, op8_toxicity, op9_mixing, op10_packing)}
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": """
