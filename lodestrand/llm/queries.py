@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, mixing, near, packing, toxicity
+from . import exact, langid, lines, mixing, near, packing, toxicity
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(table(spark, sf_dir, "documents"))
 
@@ -36,9 +40,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_exact_dedup, op5_near_copies, op7_language, op8_toxicity, op9_mixing, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_exact_dedup, op5_near_copies, op7_language, op8_toxicity, op9_mixing, op10_packing)}
 
 SQL: dict[str, str] = {
+    "op1_line_dedup": """
+        WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+        lines AS (SELECT doc_id, i, p[i] AS line, trim(p[i], ' ' || chr(9) || chr(13)) AS k
+                  FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+        ranked AS (SELECT doc_id, i, line, k = '' OR row_number() OVER (PARTITION BY k ORDER BY doc_id, i) = 1 AS keep FROM lines),
+        cut AS (SELECT doc_id, coalesce(string_agg(CASE WHEN keep THEN line END, chr(10) ORDER BY i), '') AS text,
+                       CAST(sum(CASE WHEN keep THEN 0 ELSE 1 END) AS INTEGER) AS removed
+                FROM ranked GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE c.text END AS text, coalesce(c.removed, CAST(0 AS INTEGER)) AS removed
+        FROM documents d LEFT JOIN cut c ON d.doc_id = c.doc_id""",
     "op3_exact_dedup": """
         SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id,
                CAST(CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 1 ELSE 0 END AS INTEGER) AS is_copy
