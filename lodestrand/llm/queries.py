@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, lines, mixing, near, packing, toxicity
+from . import chat, exact, langid, lines, media, mixing, mux, near, packing, pii, toxicity
 from .common import table
 
 
@@ -14,14 +14,26 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.index_tracks(mux.muxed(table(spark, sf_dir, "pages"), "page_id", "html"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copies(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.language(docs, langid.train(docs))
@@ -40,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_exact_dedup, op5_near_copies, op7_language, op8_toxicity, op9_mixing, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_media, op3_exact_dedup, op4_pii, op5_near_copies, op6_chat_format, op7_language, op8_toxicity, op9_mixing, op10_packing)}
 
 SQL: dict[str, str] = {
     "op1_line_dedup": """
@@ -58,4 +70,12 @@ SQL: dict[str, str] = {
                CAST(CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 1 ELSE 0 END AS INTEGER) AS is_copy
         FROM documents WHERE text IS NOT NULL
         UNION ALL SELECT doc_id, doc_id AS keep_id, CAST(0 AS INTEGER) AS is_copy FROM documents WHERE text IS NULL""",
+    "op6_chat_format": """
+        WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        chats AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
+                         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
+                  FROM turns GROUP BY conv_id),
+        firsts AS (SELECT min(conv_id) AS conv_id, n_turns, chat FROM chats GROUP BY n_turns, chat)
+        SELECT f.conv_id, f.n_turns, f.chat FROM firsts f
+        WHERE NOT EXISTS (SELECT 1 FROM firsts o WHERE o.n_turns > f.n_turns AND starts_with(o.chat, f.chat))""",
 }
