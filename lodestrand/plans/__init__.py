@@ -1 +1,6 @@
-"""See the repository README for what lives here."""
+"""The registered queries over the given tables, each with its SQL where SQL can express it."""
+
+from . import search_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
