@@ -43,7 +43,7 @@ N, T = 3, 0.6
 SEGMENTS = 8
 _BLOCK_GRAMS, _BLOCK_DOCS = 2_000_000, 1 << 14
 #: Candidate n-grams of one bucket of one fragment that a task takes, about.
-_BUCKET_GRAMS = 8_000_000
+_BUCKET_GRAMS = 2_000_000
 _DOC_BITS = np.uint64(16)
 
 
@@ -202,7 +202,7 @@ def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     ok[ok] &= (names[ia[ok]] == a[ok]) & (names[ib[ok]] == b[ok])
     a, b, ia, ib = a[ok], b[ok], ia[ok], ib[ok]
     out = np.zeros(len(a), np.int64)
-    step = max(1, int(4_000_000 / max(1.0, 2 * sizes.mean())))
+    step = max(1, int(1_000_000 / max(1.0, 2 * sizes.mean())))
     for i in range(0, len(a), step):
         parts = []
         for side in (ia[i : i + step], ib[i : i + step]):
@@ -235,7 +235,10 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
     pairs = written(x.join(y, "p").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct())
     stats = pairs.agg(F.sum(F.col("na") + F.col("nb")).alias("grams")).first()[0] or 0
     buckets = max(1, -(-stats // (_BUCKET_GRAMS * segments)))
-    bucket = F.pmod(F.xxhash64("a"), F.lit(buckets)).cast("int")
+    # a pair's bucket is that of the smallest partner of its a: pairs of one group meet in one bucket, so segments are hardly repeated
+    ends = pairs.select(F.col("a").alias("of"), F.least("a", "b").alias("m")).union(pairs.select(F.col("b"), F.least("a", "b")))
+    label = ends.groupBy("of").agg(F.min("m").alias("label"))
+    bucket = F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("int")
     quantiles = ordered.select(F.explode("places").alias("p")).agg(F.percentile_approx("p", [i / segments for i in range(1, segments)], 1000)).first()[0]
     pivots = [-1, *(quantiles or []), (1 << 63) - 1]
 
@@ -243,7 +246,7 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
         return F.filter("places", lambda p: (p > F.lit(lo)) & (p <= F.lit(hi)))
 
     cut = F.array(*[F.struct(F.lit(i).alias("segment"), segment(lo, hi).alias("grams")) for i, (lo, hi) in enumerate(zip(pivots, pivots[1:]))])
-    bucketed = pairs.select("a", "b", bucket.alias("bucket"))
+    bucketed = written(pairs.select("a", "b").join(label, F.col("a") == F.col("of")).select("a", "b", bucket.alias("bucket")))
     wanted = bucketed.select("bucket", F.explode(F.array("a", "b")).alias("set")).distinct()
     cells = ordered.join(wanted, "set").select("set", "bucket", F.explode(cut).alias("c")).select("set", "bucket", "c.segment", "c.grams").where(F.size("grams") > 0)
     asked = bucketed.select("a", "b", F.col("bucket").alias("for_bucket"), F.explode(F.array(*[F.lit(i) for i in range(segments)])).alias("for_segment"))
