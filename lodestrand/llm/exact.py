@@ -156,12 +156,14 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     The texts of suspected rows alone are shuffled, to be compared with each other; the other rows stay where they are.
     """
     seen, name = sized(suspects(docs), DIGEST_BYTES), "__lodestrand_digest"
+    own = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(name, _digest(F.col("text")))
     s = seen.select(F.col("digest").alias(name))
-    clean = keyed.join(s, name, "left_anti").select(docs.columns)
+    clean = keyed.join(s, name, "left_anti").select(own)
     rank = "__lodestrand_rank"
-    order = Window.partitionBy(name, "text").orderBy(F.col("doc_id").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in docs.columns if c not in ("doc_id", "text")])
-    doubted = keyed.join(s, name, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(docs.columns)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy(name, "text").orderBy(F.col("doc_id").asc_nulls_last(), F.to_json(F.struct(F.lit(0).alias("_"), *rest)))
+    doubted = keyed.join(s, name, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(own)
     return clean.unionByName(doubted)
 
 
@@ -174,3 +176,47 @@ def copies(docs: DataFrame) -> DataFrame:
     order = group.orderBy(F.col("doc_id").asc_nulls_last())
     doubted = own.join(seen, "digest", "left_semi").select("doc_id", F.min("doc_id").over(group).alias("keep_id"), F.when(F.row_number().over(order) > 1, 1).otherwise(0).alias("is_copy"))
     return clean.unionByName(doubted)
+
+
+def _probe(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    """Of one shard: the new digests that the filter suspects, once the old ones are in and the withdrawn ones out again."""
+    index, found = CuckooIndex(), set()
+    for d in old["digest"]:
+        index.insert(d)
+    for d in old["digest"][old["gone"]]:
+        index.delete(d)
+    for d in new["digest"]:
+        if index.suspect(d):
+            found.add(d)
+        index.insert(d)
+    return pd.DataFrame({"digest": list(found)}, dtype=object)
+
+
+def apply_changes(index: DataFrame | None, docs: DataFrame, withdrawn: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the index after the change, (doc_id, keep_id) of every row of docs): documents come and go without reading the corpus again.
+
+    index(digest, keep_id, text): the live documents, a written table, None at first. withdrawn(doc_id): those to delete,
+    before docs are looked up; ids that aren't live, and null ones, change nothing. keep_id is the live document whose text
+    a row has, else the smallest doc_id among the rows of docs that have it. Rows of null text keep their own id and aren't indexed.
+    """
+    spark, shards = docs.sparkSession, tasks(docs.sparkSession)
+    shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int").alias("shard")
+    new = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest(F.col("text")).alias("digest"))
+    if index is None:
+        index = spark.createDataFrame([], "digest binary, keep_id long, text string")
+    if withdrawn is None:
+        old, live = index.select("digest", F.lit(False).alias("gone")), index
+    else:
+        out = withdrawn.select(F.col("doc_id").cast("long").alias("out")).where("out is not null").distinct()
+        old = index.join(out, F.col("keep_id") == F.col("out"), "left").select("digest", F.col("out").isNotNull().alias("gone"))
+        live = index.join(out, F.col("keep_id") == F.col("out"), "left_anti")
+    pairs = old.select("digest", "gone", shard).groupBy("shard").cogroup(new.where("digest is not null").select("digest", shard).groupBy("shard"))
+    seen = sized(written(pairs.applyInPandas(_probe, "digest binary")), DIGEST_BYTES)
+    group = Window.partitionBy("digest", "text")
+    doubted = new.join(seen, "digest", "left_semi")
+    known = live.join(seen, "digest", "left_semi").select(F.col("digest").alias("d"), F.col("text").alias("same"), "keep_id")
+    told = doubted.join(known, (F.col("digest") == F.col("d")) & (F.col("text") == F.col("same")), "left").select("digest", "text", "doc_id", F.coalesce("keep_id", F.min("doc_id").over(group)).alias("keep_id"), F.col("keep_id").isNull().alias("fresh"))
+    clean = new.join(seen, "digest", "left_anti").select("digest", "text", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(True).alias("fresh"))
+    rows = written(told.unionByName(clean))
+    added = rows.where("fresh and digest is not null").select("digest", "keep_id", "text").dropDuplicates(["digest", "text"])
+    return written(live.select("digest", "keep_id", "text").unionByName(added)), rows.select("doc_id", "keep_id")

@@ -207,11 +207,15 @@ def dedup_lines(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "no")
     first = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("line").alias("same"), "first")
     again = lines.join(first, F.col("line") == F.col("same")).where(place != F.col("first"))
-    gone = written(again.groupBy("id", "h").agg(F.collect_set("no").alias("gone")).select(F.col("id").alias("of"), F.col("h").alias("of_h"), "gone"))
-    total = gone.agg(F.sum(F.size("gone") * 4 + 24)).first()[0] or 0
-    side = sized(gone, max(1, total // max(1, gone.count())))
+    gone = again.groupBy("id", "h").agg(F.array_sort(F.collect_set("no")).alias("gone"))
+    # a flag for each line up to the last that goes, so that looking a line up takes the same time in a text of any length
+    before = F.concat(F.array(F.lit(-1)), F.slice("gone", F.lit(1), F.size("gone") - 1))
+    flags = F.flatten(F.zip_with("gone", before, lambda x, y: F.concat(F.array_repeat(F.lit(False), x - y - 1), F.array(F.lit(True)))))
+    gone = written(gone.select(F.col("id").alias("of"), F.col("h").alias("of_h"), flags.alias("flags"), F.size("gone").alias("lost")))
+    total, n = gone.agg(F.sum(F.size("flags") + 40), F.count("*")).first()
+    side = sized(gone, max(1, (total or 0) // max(1, n)))
     drop_written(lines)
     at = own.join(side, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "left")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n"))
-    return at.select(F.col("id").alias("doc_id"), kept.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.coalesce(F.get("flags", i), F.lit(False)), x))
+    kept = F.when(F.col("flags").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n"))
+    return at.select(F.col("id").alias("doc_id"), kept.alias("text"), F.coalesce("lost", F.lit(0)).alias("removed"))

@@ -71,7 +71,7 @@ SQL: dict[str, str] = {
         FROM documents WHERE text IS NOT NULL
         UNION ALL SELECT doc_id, doc_id AS keep_id, CAST(0 AS INTEGER) AS is_copy FROM documents WHERE text IS NULL""",
     "op6_chat_format": """
-        WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        WITH turns AS (SELECT DISTINCT conv_id, turn, replace(replace(coalesce(role, ''), '<|im_', '< |im_'), '|im_end|', '|im_end |') AS role, replace(replace(coalesce(text, ''), '<|im_', '< |im_'), '|im_end|', '|im_end |') AS text FROM conversations WHERE conv_id IS NOT NULL),
         chats AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
                          string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
                   FROM turns GROUP BY conv_id),

@@ -117,6 +117,8 @@ def scorer(model: Model):
     bits, state = model.params.bits, {}
 
     def score(texts: list[str | None]) -> np.ndarray:
+        if not len(model.index):
+            return np.zeros(len(texts))
         if not state:
             state["w"] = model.dense()
         idx, doc = features(texts, bits)
