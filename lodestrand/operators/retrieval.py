@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import BROADCAST_BYTES
+from ..cluster import BROADCAST_BYTES, written
 from ..functions.ids import hash_slot
 from ..functions.text import graph_text, ratio, source_family, word_tokens
 
@@ -41,7 +41,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
     chunks(item_id, text), queries(query_id, text). Only the queries' tokens are joined to postings. An empty corpus has no hits.
     """
-    idf = corpus_stats(chunks)
+    idf = written(corpus_stats(chunks))
     floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"))
     asked = queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
     terms = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
@@ -53,7 +53,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     gain = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     raw = scored.groupBy("query_id", "item_id").agg(F.sum(gain).alias("raw"), F.count("*").alias("shared"))
     finite = F.when(F.isnan("raw") | (F.abs("raw") == float("inf")), 0.0).otherwise(F.greatest(F.col("raw"), F.lit(0.0)))
-    return raw.join(F.broadcast(terms), "query_id").select("query_id", "item_id", (finite + F.col("shared") / F.col("terms")).alias("score")).where("score > 0")  # terms: a row for each query, as asked above
+    return raw.join(checked(terms, 16), "query_id").select("query_id", "item_id", (finite + F.col("shared") / F.col("terms")).alias("score")).where("score > 0")
 
 
 def slot_counts(rows: DataFrame, key: str, dim: int = 384) -> DataFrame:

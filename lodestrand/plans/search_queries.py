@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions.text import word_tokens
 from ..operators import retrieval as R
 from .corpus import ASKED, TRIPLES, asked, corpus, table, triples
@@ -54,7 +55,7 @@ def _out(df: DataFrame, *more: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT df.token, CAST(df.df AS BIGINT) AS df, round(CASE WHEN r < 0 THEN f ELSE r END, 6) AS idf FROM df JOIN raw USING (token), fl")
 def e02_bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idf = R.corpus_stats(corpus(spark, sf_dir))
+    idf = written(R.corpus_stats(corpus(spark, sf_dir)))
     floor = idf.agg((F.avg("raw") * R.EPSILON).alias("f"))
     return idf.crossJoin(F.broadcast(floor)).select("token", F.col("df").cast("long").alias("df"), F.round(F.when(F.col("raw") < 0, F.col("f")).otherwise(F.col("raw")), 6).alias("idf"))  # one row
 
