@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
+def trim() -> None:
+    """Gives freed memory back: Python workers live on from task to task, and what one task needed would stay with them."""
+    pa.default_memory_pool().release_unused()
+    libc = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if libc:
+        libc(0)
+
+
 def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, rows: int = ROWS) -> DataFrame:
     """each() over slices of df's rows, JVM to Python and back in Arrow batches, one task per partition."""
 
@@ -29,6 +38,7 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | N
             out = each(b)
             if out is not None and out.num_rows:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from ..cluster import drop_written, sized, written
 from ..operators.components import connected_components
 from . import vec
-from .common import arrow_map, slices, tasks
+from .common import arrow_map, slices, tasks, trim
 
 N, T = 3, 0.6
 SEGMENTS = 8
-_BLOCK_GRAMS, _BLOCK_DOCS = 2_000_000, 1 << 14
+_BLOCK_GRAMS, _BLOCK_DOCS = 500_000, 1 << 14
 #: Candidate n-grams of one bucket of one fragment that a task takes, about.
 _BUCKET_GRAMS = 2_000_000
 _DOC_BITS = np.uint64(16)
@@ -118,6 +118,7 @@ def _blocks(n: int, fragments: int):
                 keys, ids, at, total = [], [], 0, 0
         if at:
             yield flush(keys, ids, at)
+        trim()
 
     return run
 
@@ -127,16 +128,19 @@ def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     grams, owners, base = [], [], [0]
     for g, o in zip(pdf["grams"], pdf["owners"]):
         grams.append(np.cumsum(unsqueeze(g), dtype=np.uint64))
-        own = unsqueeze(o).astype(np.int64)
-        owners.append(own + base[-1])
+        own = unsqueeze(o).astype(np.int32)
+        owners.append(own + np.int32(base[-1]))
         base.append(base[-1] + (int(own.max()) + 1 if len(own) else 0))
-    gram = np.concatenate(grams)
-    owner = np.concatenate(owners)
+    gram, owner = np.concatenate(grams), np.concatenate(owners)
+    del grams, owners
     order = np.argsort(gram)
-    gram = gram[order]
+    gram, owner = gram[order], owner[order]
+    del order
     same = np.r_[False, gram[1:] == gram[:-1], False]
     many = same[:-1] | same[1:]
-    counts = np.bincount(owner[order][many[: len(order)]], minlength=base[-1])
+    counts = np.bincount(owner[many[: len(gram)]], minlength=base[-1])
+    del gram, owner, same, many
+    trim()
     return pd.DataFrame({"block": pdf["block"], "counts": [squeeze(counts[i:j].astype(np.uint64)) for i, j in zip(base, base[1:])], "ids": pdf["ids"], "sizes": pdf["sizes"]})
 
 
@@ -219,7 +223,7 @@ def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b, overlap, size_a, size_b, jaccard) of all pairs of sets with Jaccard t at least. reps: (set, size, grams)."""
+    """(a, b, overlap, size_a, size_b, jaccard) of all pairs of sets with Jaccard t at least, a written table. reps: (set, size, grams)."""
     grams = reps.select("set", "size", F.explode("grams").alias("g"))
     df = grams.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
     # place in the global order: rare first, then by hash
@@ -253,7 +257,9 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
     partial = cells.groupBy("bucket", "segment").cogroup(asked.groupBy("for_bucket", "for_segment")).applyInPandas(_overlaps, "a long, b long, n long")
     summed = partial.groupBy("a", "b").agg(F.sum("n").alias("overlap"))
     got = summed.join(pairs, ["a", "b"]).withColumn("jaccard", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
-    return got.where(F.col("jaccard") >= F.lit(t) - F.lit(1e-9)).select("a", "b", "overlap", F.col("na").alias("size_a"), F.col("nb").alias("size_b"), "jaccard")
+    out = written(got.where(F.col("jaccard") >= F.lit(t) - F.lit(1e-9)).select("a", "b", "overlap", F.col("na").alias("size_a"), F.col("nb").alias("size_b"), "jaccard"))
+    drop_written(ordered, pairs, bucketed)
+    return out
 
 
 def found(docs: DataFrame, n: int = N, t: float = T) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +267,9 @@ def found(docs: DataFrame, n: int = N, t: float = T) -> tuple[DataFrame, DataFra
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text <> ''")
     left = sized(prune(own, n, t), 16)
     reps, members = classes(own.join(left, "id", "left_semi"), n)
-    return written(class_pairs(reps, t)), members
+    pairs = class_pairs(reps, t)
+    drop_written(reps, left)
+    return pairs, members
 
 
 def near(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
-from .common import arrow_map
+from .common import arrow_map, trim
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "id", "x"], kind="stable")
         live, w, bias = ftrl([np.frombuffer(x, np.int32) for x in pdf["x"]], pdf["y"].to_numpy(), p)
+        trim()
         return pd.DataFrame({"i": [live.astype(np.int64).tolist()], "w": [w.astype(float).tolist()], "b": [bias]})
 
     rows = arrow_map(used, each, "id long, y int, x binary").select("*", F.xxhash64("id").alias("order"), F.lit(0).alias("one"))
