@@ -67,14 +67,19 @@ def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
+#: Rows of an Arrow batch, at most: rows here are whole texts, of which 10,000 would fill a task's memory outside the heap.
+ARROW_ROWS = 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, wherever they run, once for each application."""
+    """Sends this package to the Python workers, wherever they run, once for each application, and bounds the session's Arrow batches."""
     import zipfile
     from pathlib import Path
 
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
