@@ -1,9 +1,9 @@
 """Personal data and secrets by a semi-Markov conditional random field.
 
-A text is cut into islands: runs of space-separated chunks that hold a digit, '@', '=' or the start of a cloud key, with a chunk of context on either
-side. In what lies between no segment has a feature that speaks for an entity, so the field decides each island by
+A text is cut into islands: runs of space-separated chunks that hold a digit, '@', '=', a secret word with its colon or the start of a key, with the whole
+chunk on either side. In what lies between no segment has a feature that speaks for an entity, so the field decides each island by
 itself and the rest is certain to be outside. An island's tokens are runs of letters and digits and single other
-characters. A segmentation divides them into entities of 1 to MAX_TOKENS tokens, each of one type, and single tokens
+characters. A segmentation divides them into entities of 1 to MAX_TOKENS tokens (of any number of characters, in one line), each of one type, and single tokens
 outside. Whole-span features score each candidate segment: the shape of the span as a whole, checksum, digits, what
 stands before and after it. The dynamic program over (end, length, type) finds the best segmentation, boundaries and types at once;
 training maximises the likelihood of whole segmentations by the forward-backward form of the same program (Sarawagi and
@@ -20,7 +20,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,6 @@ from .common import arrow_map
 TYPES = ("EMAIL", "PHONE", "CARD", "IP", "SECRET", "SSN", "IBAN")
 MAX_TOKENS = 16
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_TRIGGER = re.compile(r"[\d@=]|A[KS]IA|[kpob][-_]\w{12}")
 _CHUNK = re.compile(r"\S+")
 
 #: Shapes of a whole span.
@@ -50,6 +51,9 @@ SHAPES = {
     "date": re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}"),
 }
 _SECRET_WORD = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|key)\s*[=:]\s*[\"']?$", re.I)
+#: Characters before a value in which its secret word is looked for.
+_LEAD = 24
+_TRIGGER = re.compile(r"[\d@=]+|A[KS]IA|[kpob][-_](?=[A-Za-z0-9_-]{12})")
 
 
 def luhn(s: str) -> bool:
@@ -79,33 +83,39 @@ def span_features(text: str, start: int, end: int) -> list[str]:
         out.append("more_digits")
     if before in ("(", "+"):
         out.append("opened_before")
-    if _SECRET_WORD.search(text[max(0, start - 24) : start]):
+    if _SECRET_WORD.search(text[max(0, start - _LEAD) : start]):
         out.append("after_secret_word")
         if len(s) >= 6 and s.isalnum():
             out.append("secret_value")
     return out
 
 
+def triggers(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what an island is made around, by start: without one of these no segment has a shape or secret_value. An IBAN may have chunks of letters only."""
+    colons = (i for i in (m.end() for m in re.finditer(":", text)) if _SECRET_WORD.search(text, max(0, i - _LEAD), i))
+    return merge((m.span() for m in _TRIGGER.finditer(text)), (m.span() for m in SHAPES["iban"].finditer(text)), ((i - 1, i) for i in colons))
+
+
 def islands(text: str) -> list[tuple[int, int]]:
     """(start, end) of the islands."""
     out: list[tuple[int, int]] = []
     done = 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() < done:
+    for first, last in triggers(text):
+        if last <= done:
             continue
-        start = m.start()
-        while start > 0 and not text[start - 1].isspace():
+        floor = out[-1][1] if out else 0
+        start = first
+        while start > floor and not text[start - 1].isspace():
             start -= 1
-        end = _CHUNK.match(text, start).end()
-        done = end
-        left = len(text[max(0, start - 80) : start].rstrip())
-        base = max(0, start - 80)
-        prev = base + left
-        while prev > base and not text[prev - 1].isspace():
+        done = _CHUNK.match(text, last - 1).end()
+        prev = start
+        while prev > floor and text[prev - 1].isspace():
             prev -= 1
-        nxt = _CHUNK.search(text, end, end + 80)
-        right = nxt.end() if nxt else end
-        if out and prev <= out[-1][1]:
+        while prev > floor and not text[prev - 1].isspace():
+            prev -= 1
+        nxt = _CHUNK.search(text, done)
+        right = nxt.end() if nxt else done
+        if out and prev <= floor:
             out[-1] = (out[-1][0], right)
         else:
             out.append((prev, right))
@@ -140,8 +150,6 @@ def segments(text: str, toks: list[tuple[int, int]]):
     for j in range(1, len(toks) + 1):
         for n in range(1, min(MAX_TOKENS, j) + 1):
             a, b = toks[j - n][0], toks[j - 1][1]
-            if b - a > 80:
-                break
             if "\n" in text[a:b]:
                 break
             f = span_features(text, a, b)

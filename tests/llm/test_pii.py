@@ -86,3 +86,26 @@ def test_edge_cases(spark, corpus, nothing):
     df = spark.createDataFrame([(1, long), (1, long), (None, "a.b@c.org"), (2, None), (3, "")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["type"], r["start"], r["length"]) for r in pii.find_pii(df).collect()), key=repr)
     assert got == [(1, "EMAIL", 500_000, 9), (1, "EMAIL", 500_000, 9), (None, "EMAIL", 0, 9)]
+
+
+def test_long_tokens_and_values_of_letters():
+    field = pii.train()
+    one = lambda t: [(k, t[s : s + n]) for k, s, n in pii.entities(field, t)]
+    digest, mail, letters = "0a1b2c3d" * 16, "a1" * 50 + "@example.org", "q" * 120
+    assert one(f"digest {digest} end") == [("SECRET", digest)]
+    assert one(f"write to {mail} now") == [("EMAIL", mail)]
+    assert one(f"see ghp_{letters} there") == [("SECRET", "ghp_" + letters)]
+    assert one(f"password={'Ab1' * 40}") == [("SECRET", "Ab1" * 40)]
+    assert one("password: hunterabc") == [("SECRET", "hunterabc")]
+    assert one(f"its secret :\n{letters} ends") == [("SECRET", letters)]
+    assert one("the secrets are: kept well") == one("a key, hunterabc") == []
+
+
+def test_outside_of_islands_is_no_entity():
+    field, r = pii.train(), random.Random(8)
+    parts = ["word", "Password", "api_key:", "token :", "key", ":", "hunterabc", "abcdefgh", "x" * 90, "a1" * 60, "sk-abcdef-ghijklmn", "DE12", "ABCD", "12.3.4.5", "a.b@c.org", "=", "q" * 85 + ",", "\n"]
+    for _ in range(300):
+        text = " ".join(r.choice(parts) for _ in range(14))
+        toks = pii.tokens(text, 0, len(text))
+        whole = [(pii.TYPES[k], toks[i][0], toks[i + n - 1][1] - toks[i][0]) for i, n, k in pii.decode(field, text, toks)]
+        assert pii.entities(field, text) == whole
