@@ -29,22 +29,19 @@ class Params:
     max_n: int = 4
     #: Labelled texts to fit on in each language, at most: the first by hash of doc_id.
     max_labelled: int = 2_000
-    #: Words and n-grams kept, the most frequent over all languages; each must occur min_count times.
-    max_words: int = 40_000
-    max_grams: int = 60_000
+    #: Every word and n-gram that occurs so often, over all languages, is kept.
     min_count: int = 3
     #: Added to each count before the logarithm.
     smooth: float = 0.5
 
 
-_SLOT_BITS = 21
 WORD = 0
 
 
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
-    #: Hashes of the known words (kind 0) and n-grams (kind n); the n-th row of score has their log frequencies.
+    #: Hashes of the known words (kind 0) and n-grams (kind n), ascending; the n-th row of score has their log frequencies.
     keys: np.ndarray
     score: np.ndarray
     params: Params
@@ -101,36 +98,32 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
 
     counts = text.select("l", "text").mapInPandas(each, "l string, kind int, key long, n long").groupBy("l", "kind", "key").agg(F.sum("n").alias("n"))
     wide = counts.groupBy("kind", "key").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]).where(F.col("all") >= p.min_count)
-    top = wide.where("kind = 0").orderBy(F.desc("all"), "key").limit(p.max_words).unionByName(wide.where("kind > 0").orderBy(F.desc("all"), "key").limit(p.max_grams)).toPandas()
-    table = top[[f"n{i}" for i in range(len(langs))]].to_numpy(np.float64)
+    top = wide.select("kind", "key", *[f"n{i}" for i in range(len(langs))]).toArrow()  # p.max_labelled bounds it
+    kinds, keys = top["kind"].to_numpy(), top["key"].to_numpy().view(np.uint64)
+    table = np.stack([top[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
     score = np.zeros_like(table)
     for kind in range(p.max_n + 1):  # a distribution of its own for each kind
-        own = (top["kind"] == kind).to_numpy()
+        own = kinds == kind
         if own.any():
             x = table[own] + p.smooth
             score[own] = np.log(x / x.sum(axis=0))
-    return Model(langs, top["key"].to_numpy(np.int64).view(np.uint64), score.astype(np.float32), p)
+    order = np.argsort(keys)
+    return Model(langs, keys[order], score[order].astype(np.float32), p)
 
 
 def scorer(model: Model):
     """texts -> (index of the language or -1, margin of its mean score over the next)."""
-    state: dict = {}
     k, max_n = len(model.langs), model.params.max_n
 
     def find(keys: np.ndarray) -> np.ndarray:
         """Row of each key in the model, or -1."""
-        slot = state["slots"][(keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)]
-        return np.where((slot >= 0) & (model.keys[slot] == keys), slot, -1)
+        at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
+        return np.where(model.keys[at] == keys, at, -1)
 
     def score(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         n_docs = len(texts)
         if not k or not len(model.keys):
             return np.full(n_docs, -1), np.zeros(n_docs)
-        if not state:  # where two keys want one slot, the one listed first, the more frequent, has it
-            slots = np.full(1 << _SLOT_BITS, -1, np.int64)
-            at = (model.keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-            slots[at[::-1]] = np.arange(len(at))[::-1]
-            state["slots"] = slots
         total, words = np.zeros((n_docs, k)), np.zeros(n_docs)
         for text, starts, docs in vec.pieces(texts):
             cp = vec.points(text)

@@ -82,3 +82,20 @@ def test_edge_cases(spark, corpus, corpus_rows, nothing):
     assert langid.language(nothing, langid.train(nothing)).collect() == []
     same = spark.createDataFrame([(1, "tie tie tie", "b"), (2, "tie tie tie", "a")], "doc_id long, text string, lang string")
     assert {r["lang"] for r in langid.language(same, langid.train(same)).collect()} == {"a"}
+
+
+def test_every_word_of_min_count_is_known(spark):
+    r = random.Random(6)
+    words = {k: ["".join(r.choice(v) for _ in range(6)) for _ in range(30_000)] for k, v in (("aa", "abcdefghij"), ("bb", "efghijklmno"))}
+    rows = []
+    for k, own in words.items():
+        for _ in range(3):
+            r.shuffle(own)
+            rows += [(len(rows) + i, " ".join(own[i * 100 : i * 100 + 100]), k) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    texts = [t for _, t, _ in rows[::90]] + [w for k in words for w in words[k][:200]]
+    tests = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["lang"], x["margin"]) for x in langid.language(tests, model).collect()}
+    for i, (lang, margin) in enumerate(brute([(t, k) for _, t, k in rows], texts, model.params)):
+        assert got[i][0] == lang and abs(got[i][1] - margin) < 1e-4
