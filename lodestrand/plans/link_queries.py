@@ -165,10 +165,12 @@ def k03_visual_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.visual_block(links(spark, sf_dir), assets(spark, sf_dir))
 
 
-def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _texts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The assets with their texts: caption, body and long words; of the body its opening, as the queries with SQL have it, or the whole."""
     a = assets(spark, sf_dir)
-    words = F.filter(F.split(F.substring("body", 1, 400), " "), lambda w: F.length(w) >= 6)
-    return a.withColumn("texts", C.asset_texts([F.col("caption"), F.substring("body", 1, 80), words], [None, None, 6]))
+    body, seen = (F.col("body"), F.col("body")) if whole else (F.substring("body", 1, 80), F.substring("body", 1, 400))
+    words = F.filter(F.split(seen, " "), lambda w: F.length(w) >= 6)
+    return a.withColumn("texts", C.asset_texts([F.col("caption"), body, words], [None, None, 6]))
 
 
 _TEXTS = """wl AS (SELECT asset_id, doc, page_no, kind, list_concat([caption, trim(substr(body, 1, 80))], list_slice(list_filter(string_split(substr(body, 1, 400), ' '), lambda w: length(w) >= 6), 1, 6)) AS raw FROM ast),
@@ -196,7 +198,7 @@ def k09_lexical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k02_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five chunking strategies over all pages: (strategy, kind, chunks, chars)."""
     p = C.page_chunks(pages(spark, sf_dir), sections(spark, sf_dir))
-    v = C.asset_chunks(_texts(spark, sf_dir))
+    v = C.asset_chunks(_texts(spark, sf_dir, whole=True))
     f = C.families(p, v, C.split_chunks(p), C.hierarchical(p))
     return f.groupBy("strategy", "kind").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
