@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +45,16 @@ def choose(terms: list[tuple[str, int, float]], n: int) -> list[str]:
     return sorted(out, key=lambda t: (place[t], t))
 
 
-def chosen_terms(scored: DataFrame, n: int, pool: int = 64) -> DataFrame:
-    """(item_id, terms): choose() over each item's pool best terms and pool first ones. The greedy choice depends on what was chosen before, so it is a UDF."""
-    by = lambda *o: F.row_number().over(Window.partitionBy("item_id").orderBy(*o))
-    own = scored.withColumn("a", by(F.desc("score"), "pos", "term")).withColumn("b", by("pos", "term")).where((F.col("a") <= pool) | (F.col("b") <= pool))
-    lists = own.groupBy("item_id").agg(F.collect_list(F.struct("term", "pos", "score")).alias("ts"))
+def chosen_terms(scored: DataFrame, n: int) -> DataFrame:
+    """(item_id, terms): choose() over all terms of each item. The greedy choice depends on what was chosen before, so it is a UDF."""
+    lists = scored.groupBy("item_id").agg(F.collect_list(F.struct("term", "pos", "score")).alias("ts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"item_id": pdf["item_id"], "terms": [choose([(t["term"], t["pos"], t["score"]) for t in ts], n) for ts in pdf["ts"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # one item's terms at a time become Python objects
+            terms = [choose(list(zip(*(x.to_pylist() for x in ts.values.flatten()))), n) for ts in b.column("ts")]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(terms, pa.list_(pa.string()))], ["item_id", "terms"])
 
-    return lists.mapInPandas(run, f"item_id {scored.schema['item_id'].dataType.simpleString()}, terms array<string>")
+    return lists.mapInArrow(run, f"item_id {scored.schema['item_id'].dataType.simpleString()}, terms array<string>")
 
 
 def page_cases(chosen: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lodestrand import plans
+from lodestrand.operators import cases
 from lodestrand.plans.corpus import assets
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +11,11 @@ def test_asset_chunks_of_strategies_hold_the_whole_body(spark):
     got = plans.QUERIES["k02_strategies"](spark, SF).where("kind like 'visual%'").groupBy("strategy").agg(F.sum("chars")).collect()
     bodies = assets(spark, SF).agg(F.sum(F.length("body"))).first()[0]
     assert got and all(n >= bodies for _, n in got)
+
+
+def test_terms_are_chosen_from_all_of_an_item(spark):
+    nested = [("a" * (100 - i), i, 9.0) for i in range(90)]
+    terms = {1: [*nested, ("late", 95, 2.0), ("later", 96, 1.5), ("other", 97, 1.0)], 2: [("one", 0, 1.0)]}
+    df = spark.createDataFrame([(i, *t) for i, own in terms.items() for t in own], "item_id long, term string, pos int, score double")
+    got = {r["item_id"]: r["terms"] for r in cases.chosen_terms(df, 3).collect()}
+    assert got == {1: ["a" * 100, "late", "other"], 2: ["one"]} == {i: cases.choose(own, 3) for i, own in terms.items()}
