@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS = 512
 
@@ -46,3 +47,13 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | N
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: set for the input's size by whoever runs the query."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of text for a shard of its hashes, about.
+SHARD_BYTES = 32 << 20
+
+
+def shards(docs: DataFrame, each: int = SHARD_BYTES) -> int:
+    """Shards for what is taken from the column text: by its bytes, counted, and no fewer than the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(tasks(docs.sparkSession), -(-size // each))

@@ -1,6 +1,8 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Every pair of documents is found whose sets of word n-grams have Jaccard similarity t at least; nothing is approximate.
+Every pair of documents is found whose sets of word n-grams have Jaccard similarity t at least. N-grams are compared as 48-bit
+hashes: among D distinct n-grams of a corpus a share of about D / 2**48 has the hash of another, by which an overlap may be counted
+too high; nothing else is approximate, and no candidate is capped.
 
 1. Prune. A document can only have a partner if at least t of its n-grams occur in another document. All n-gram hashes
    of all documents are sorted and packed in blocks (a few bytes each) and go by range of the hash to fragments, where
@@ -12,16 +14,17 @@ Every pair of documents is found whose sets of word n-grams have Jaccard similar
    size - ceil(t * size) + 1 n-grams of each side: candidates share one of these, and no cap bounds how many there are.
 4. Vertical partitioning: the global order is cut into fragments at quantiles, each set into the segments that lie in
    them. Each fragment by itself counts the overlap of every candidate pair; the partial counts are summed per pair.
-   Fragments are further divided by bucket of the pair, so that a task's share stays within memory as data grows.
+   Fragments are further divided by bucket of the pair, so that a task's share stays within memory as data grows: a group of
+   many pairs is laid out as a square of buckets, by hash of either side.
 
-Result of near(): one row for each pair of classes and one for each class of several documents: docs_a, docs_b (sorted
-lists of doc_id), overlap, size_a, size_b, jaccard. Every document of docs_a pairs with every one of docs_b; for a
-class with itself, docs_a = docs_b, jaccard 1. Lists keep the result in proportion to the documents where pairs written out would grow with
-the square of a group's size.
+Result of near(): one row for each doc_id: doc_id, class_id, the smallest doc_id that it is linked to through any number of pairs (its
+own if none), and n_links, the number of other documents of which it has Jaccard similarity t at least. Rows grow with the documents, where pairs written
+out would grow with the square of a group's size. near_pairs() gives the pairs of class representatives with their membership.
 
 Defined results: null and empty texts and those without a word have no n-gram and pair with nothing. A text of fewer
 than n words has one n-gram, all of it. Rows with a null doc_id are left out. Repeated rows count once; if a doc_id
-comes with several texts, each is compared and the id may be in several rows. Other columns take no part.
+comes with several texts, each is compared, all belong to one class, and n_links counts each text of others and sums over its own. doc_id is an integer or what
+casts to one. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ from pyspark.sql import functions as F
 from ..cluster import drop_written, sized, written
 from ..operators.components import connected_components
 from . import vec
-from .common import arrow_map, slices, tasks, trim
+from .common import arrow_map, shards, slices, trim
 
 N, T = 3, 0.6
 SEGMENTS = 8
-_BLOCK_GRAMS, _BLOCK_DOCS = 500_000, 1 << 14
+#: N-grams of a block: at least the first, and as many more as keep its share of a fragment at 64, up to the last.
+_BLOCK_GRAMS, _SHARE, _BLOCK_LIMIT = 500_000, 64, 8_000_000
+_BLOCK_DOCS = 1 << 14
 #: Candidate n-grams of one bucket of one fragment that a task takes, about.
 _BUCKET_GRAMS = 2_000_000
 _DOC_BITS = np.uint64(16)
@@ -84,6 +89,7 @@ def gram_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(n: int, fragments: int):
     """Docs to rows (fragment, grams, owners, ids, sizes): a block's share of a fragment; one share carries the block's ids and sizes."""
     width = np.uint64(-(-(1 << 48) // fragments))
+    most = min(max(_BLOCK_GRAMS, _SHARE * fragments), _BLOCK_LIMIT)
 
     def flush(keys: list[np.ndarray], ids: list[np.ndarray], at: int) -> pa.RecordBatch:
         key = np.concatenate(keys)
@@ -113,7 +119,7 @@ def _blocks(n: int, fragments: int):
             ids.append(b.column("id").to_numpy(zero_copy_only=False))
             at += b.num_rows
             total += len(g)
-            if total >= _BLOCK_GRAMS or at + 512 > _BLOCK_DOCS:
+            if total >= most or at + 512 > _BLOCK_DOCS:
                 yield flush(keys, ids, at)
                 keys, ids, at, total = [], [], 0, 0
         if at:
@@ -159,14 +165,14 @@ def _survivors(t: float):
 
 def prune(docs: DataFrame, n: int, t: float) -> DataFrame:
     """(id) of the documents that may have a partner: a written table."""
-    fragments = tasks(docs.sparkSession)
+    fragments = shards(docs)
     blocks = docs.mapInArrow(_blocks(n, fragments), "fragment int, block long, grams binary, owners binary, ids binary, sizes binary")
     counts = blocks.groupBy("fragment").applyInPandas(_repeats, "block long, counts binary, ids binary, sizes binary")
     return written(counts.groupBy("block").applyInPandas(_survivors(t), "id long").distinct())
 
 
 def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """((rep, size, grams) of each distinct set, (rep, docs) of each): two written tables. docs: (id, text)."""
+    """((set, size, grams) of each distinct set, (set, size, id) of each member): two written tables. docs: (id, text)."""
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         g, d = gram_sets(b.column("text").to_pylist(), n)
@@ -180,12 +186,11 @@ def classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         return out.filter(pa.array(np.diff(at) > 0))
 
     sets = written(arrow_map(docs, each, "id long, size long, s1 long, s2 long, grams array<long>"))
-    named = written(sets.groupBy("s1", "s2", "size").agg(F.array_sort(F.collect_set("id")).alias("docs")).select(F.col("docs")[0].alias("rep"), "s1", "s2", "size", "docs"))
-    # a rep may stand for several sets only where an id has several texts: the set's name tells them apart
-    keys = sized(named.select("rep", "s1", "s2"), 32)
+    # a group of copies of any size is met by aggregates only, never by a list of its ids
+    keys = sized(written(sets.groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"))).drop("size"), 32)
     reps = written(sets.join(keys, (F.col("id") == F.col("rep")) & (sets.s1 == keys.s1) & (sets.s2 == keys.s2)).select(sets.s1.alias("set"), "size", "grams").dropDuplicates(["set"]))
-    members = written(named.select(F.col("s1").alias("set"), "size", "docs"))
-    drop_written(sets, named)
+    members = written(sets.select(F.col("s1").alias("set"), "size", "id").distinct())
+    drop_written(sets)
     return reps, members
 
 
@@ -237,12 +242,17 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
     y = heads.select("p", F.col("set").alias("b"), F.col("size").alias("nb"))
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - F.lit(1e-9)
     pairs = written(x.join(y, "p").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct())
+    room = _BUCKET_GRAMS * segments
     stats = pairs.agg(F.sum(F.col("na") + F.col("nb")).alias("grams")).first()[0] or 0
-    buckets = max(1, -(-stats // (_BUCKET_GRAMS * segments)))
-    # a pair's bucket is that of the smallest partner of its a: pairs of one group meet in one bucket, so segments are hardly repeated
+    buckets = max(1, -(-stats // room))
+    # a pair's label is that of the smallest partner of its a: pairs of one group meet in one bucket, so segments are hardly repeated
     ends = pairs.select(F.col("a").alias("of"), F.least("a", "b").alias("m")).union(pairs.select(F.col("b"), F.least("a", "b")))
     label = ends.groupBy("of").agg(F.min("m").alias("label"))
-    bucket = F.pmod(F.xxhash64("label"), F.lit(buckets)).cast("int")
+    labelled = written(pairs.join(label, F.col("a") == F.col("of")).select("a", "b", "label", (F.col("na") + F.col("nb")).alias("load")))
+    # labels of more than a bucket's load: at most stats / room of them
+    wide = labelled.groupBy("label").agg(F.sum("load").alias("load")).where(F.col("load") > room).select("label", F.ceil(F.sqrt(F.col("load") / room)).alias("k"))
+    side = lambda x: F.pmod(F.xxhash64(F.col(x)), F.col("k"))
+    bucket = F.when(F.col("k").isNull(), F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.xxhash64("label", side("a"), side("b")))
     quantiles = ordered.select(F.explode("places").alias("p")).agg(F.percentile_approx("p", [i / segments for i in range(1, segments)], 1000)).first()[0]
     pivots = [-1, *(quantiles or []), (1 << 63) - 1]
 
@@ -250,7 +260,7 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
         return F.filter("places", lambda p: (p > F.lit(lo)) & (p <= F.lit(hi)))
 
     cut = F.array(*[F.struct(F.lit(i).alias("segment"), segment(lo, hi).alias("grams")) for i, (lo, hi) in enumerate(zip(pivots, pivots[1:]))])
-    bucketed = written(pairs.select("a", "b").join(label, F.col("a") == F.col("of")).select("a", "b", bucket.alias("bucket")))
+    bucketed = written(labelled.join(sized(written(wide), 24), "label", "left").select("a", "b", bucket.alias("bucket")))
     wanted = bucketed.select("bucket", F.explode(F.array("a", "b")).alias("set")).distinct()
     cells = ordered.join(wanted, "set").select("set", "bucket", F.explode(cut).alias("c")).select("set", "bucket", "c.segment", "c.grams").where(F.size("grams") > 0)
     asked = bucketed.select("a", "b", F.col("bucket").alias("for_bucket"), F.explode(F.array(*[F.lit(i) for i in range(segments)])).alias("for_segment"))
@@ -258,7 +268,7 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
     summed = partial.groupBy("a", "b").agg(F.sum("n").alias("overlap"))
     got = summed.join(pairs, ["a", "b"]).withColumn("jaccard", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
     out = written(got.where(F.col("jaccard") >= F.lit(t) - F.lit(1e-9)).select("a", "b", "overlap", F.col("na").alias("size_a"), F.col("nb").alias("size_b"), "jaccard"))
-    drop_written(ordered, pairs, bucketed)
+    drop_written(ordered, pairs, labelled, bucketed)
     return out
 
 
@@ -272,28 +282,50 @@ def found(docs: DataFrame, n: int = N, t: float = T) -> tuple[DataFrame, DataFra
     return pairs, members
 
 
-def near(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
-    """The pairs, as described above."""
+def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """(doc_a, doc_b, overlap, size_a, size_b, jaccard): a row for each pair of class representatives, doc_a < doc_b, and one for each other
+    member of a class with its representative, the smallest doc_id, at jaccard 1. A member has the pairs of its representative."""
     pairs, members = found(docs, n, t)
-    own = sized(members.select("set", "docs"), 64)
-    a, b = own.select(F.col("set").alias("a"), F.col("docs").alias("docs_a")), own.select(F.col("set").alias("b"), F.col("docs").alias("docs_b"))
-    between = pairs.join(a, "a").join(b, "b")
-    swap = F.element_at("docs_a", 1) > F.element_at("docs_b", 1)
-    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    between = between.select(pick("docs_a", "docs_b", "docs_a"), pick("docs_b", "docs_a", "docs_b"), "overlap", pick("size_a", "size_b", "size_a"), pick("size_b", "size_a", "size_b"), F.round("jaccard", 6).alias("jaccard"))
-    within = members.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.col("size").alias("overlap"), F.col("size").alias("size_a"), F.col("size").alias("size_b"), F.lit(1.0).alias("jaccard"))
+    reps = written(members.groupBy("set", "size").agg(F.min("id").alias("rep")))
+    own = sized(reps.select("set", "rep"), 24)
+    between = pairs.join(own.select(F.col("set").alias("a"), F.col("rep").alias("ra")), "a").join(own.select(F.col("set").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
+    pick = lambda x, y, name: F.when(F.col("ra") > F.col("rb"), F.col(y)).otherwise(F.col(x)).alias(name)
+    between = between.select(pick("ra", "rb", "doc_a"), pick("rb", "ra", "doc_b"), "overlap", pick("size_a", "size_b", "size_a"), pick("size_b", "size_a", "size_b"), F.round("jaccard", 6).alias("jaccard"))
+    within = members.join(own, "set").where("id <> rep").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), *[F.col("size").alias(x) for x in ("overlap", "size_a", "size_b")], F.lit(1.0).alias("jaccard"))
     return between.unionByName(within)
 
 
+def linked(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """(id, class_id, n_links) of the documents that have a partner: a written table."""
+    pairs, members = found(docs, n, t)
+    count = written(members.groupBy("set").agg(F.count("*").alias("own")))
+    sizes = sized(count, 24)
+    ends = pairs.select("a", "b").union(pairs.select("b", "a"))
+    links = written(ends.join(sizes.select(F.col("set").alias("b"), "own"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("own").alias("links")))
+    # a doc_id of several texts joins their sets
+    several = members.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("m")).where("a <> m").select("id", "a")
+    also = members.join(sized(written(several), 24), "id").where("set <> a").select("a", F.col("set").alias("b"))
+    groups = sized(connected_components(pairs.select("a", "b").union(also)), 24)
+    at = members.join(groups, F.col("set") == F.col("node"), "left").select("id", "set", F.coalesce("component", "set").alias("group"))
+    at = written(at.join(sizes, "set").join(sized(links, 24), "set", "left").select("id", "group", (F.col("own") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
+    first = sized(written(at.groupBy("group").agg(F.min("id").alias("class_id"))), 24)
+    out = written(at.join(first, "group").groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links")).where("n_links > 0 or class_id <> id"))
+    drop_written(pairs, members, count, links, at)
+    return out
+
+
+def near(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """(doc_id, class_id, n_links) of every doc_id, as described above."""
+    got = sized(linked(docs, n, t), 32)
+    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    return ids.join(got, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     """The rows of docs, with all their columns, less those of a group of near copies but its smallest doc_id.
 
-    Groups are the connected components of the pairs. A doc_id stays or goes as a whole; rows without doc_id stay.
+    Groups are the classes of near(). A doc_id stays or goes as a whole; rows without doc_id stay.
     """
-    pairs, members = found(docs, n, t)
-    groups = connected_components(pairs.select("a", "b"))
-    labelled = members.join(sized(groups, 24), F.col("set") == F.col("node"), "left").select(F.coalesce("component", "set").alias("group"), F.explode("docs").alias("id"))
     name = "__lodestrand_drop"
-    first = labelled.groupBy("group").agg(F.min("id").alias("keep"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-    gone = written(first.select("keep", F.explode("ids").alias(name)).where(F.col(name) != F.col("keep")).select(name).distinct())
+    gone = written(linked(docs, n, t).where("class_id <> id").select(F.col("id").alias(name)))
     return docs.join(sized(gone, 16), F.col("doc_id") == F.col(name), "left_anti")

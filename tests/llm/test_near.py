@@ -27,31 +27,73 @@ def brute(rows, n, t):
     return out
 
 
-def pairs(df):
-    out = set()
-    for r in df.collect():
-        out |= {(min(i, j), max(i, j)) for i in r["docs_a"] for j in r["docs_b"] if i != j}
-    return out
+def expected(rows, n, t):
+    """{doc_id: (class_id, n_links)} by all pairs of (doc_id, set)."""
+    nodes = sorted({(i, grams(text, n)) for i, text, *_ in rows if i is not None}, key=lambda x: x[0])
+    links, parent = {i: 0 for i, _ in nodes}, {i: i for i, _ in nodes}
 
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
 
-def test_all_pairs_of_the_fixture(corpus, corpus_rows):
-    got = near.near(corpus)
-    assert pairs(got) == brute(corpus_rows, near.N, near.T)
+    for x, (i, a) in enumerate(nodes):
+        for j, b in nodes[x + 1 :]:
+            if a and b and len(a & b) / len(a | b) >= t:
+                links[i] += 1
+                links[j] += 1
+                p, q = sorted((find(i), find(j)))
+                parent[q] = p
+    return {i: (find(i), links[i]) for i in links}
 
 
-def test_many_random_pairs_and_overlaps(spark):
-    r = random.Random(8)
+def told(df):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in df.collect()}
+
+
+def random_groups(seed=8):
+    r = random.Random(seed)
     rows = []
     for g in range(40):
         base = ["v%d" % r.randrange(300) for _ in range(r.randint(4, 60))]
         rows += [(10 * g + k, near_text(r, base, r.randint(0, 4))) for k in range(6)]
+    return rows
+
+
+def test_all_documents_of_the_fixture(corpus, corpus_rows):
+    got = near.near(corpus)
+    assert got.columns == ["doc_id", "class_id", "n_links"] and got.count() == len({r[0] for r in corpus_rows if r[0] is not None})
+    assert told(got) == expected(corpus_rows, near.N, near.T)
+
+
+def test_many_random_pairs_and_overlaps(spark):
+    rows = random_groups()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for n, t in ((3, 0.6), (2, 0.3), (1, 0.8)):
-        assert pairs(near.near(df, n, t)) == brute(rows, n, t)
-    for row in near.near(df).collect():
-        text = dict(rows)
-        a, b = grams(text[row["docs_a"][0]], 3), grams(text[row["docs_b"][0]], 3)
-        assert (row["overlap"], row["size_a"], row["size_b"]) == (len(a & b), len(a), len(b)) and abs(row["jaccard"] - len(a & b) / len(a | b)) < 1e-6
+        assert told(near.near(df, n, t)) == expected(rows, n, t)
+    text, got = dict(rows), near.near_pairs(df).collect()
+    rep = {r["doc_b"]: r["doc_a"] for r in got if grams(text[r["doc_a"]], 3) == grams(text[r["doc_b"]], 3)}
+    of = {i: [j for j in text if rep.get(j, j) == i] for i in text}
+    assert {(min(x, y), max(x, y)) for r in got for x in of[rep.get(r["doc_a"], r["doc_a"])] for y in of[rep.get(r["doc_b"], r["doc_b"])] if x != y} == brute(rows, 3, 0.6)
+    for row in got:
+        a, b = grams(text[row["doc_a"]], 3), grams(text[row["doc_b"]], 3)
+        assert row["doc_a"] < row["doc_b"] and (row["overlap"], row["size_a"], row["size_b"]) == (len(a & b), len(a), len(b)) and abs(row["jaccard"] - len(a & b) / len(a | b)) < 1e-6
+
+
+def test_one_group_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near, "_BUCKET_GRAMS", 50)
+    r = random.Random(3)
+    base = ["v%d" % i for i in range(60)]
+    rows = [(k, near_text(r, base, k % 5)) for k in range(60)] + random_groups(4)
+    rows = [(i, x[1]) for i, x in enumerate(rows)]
+    assert told(near.near(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows, near.N, near.T)
+
+
+def test_a_document_of_several_texts_joins_its_classes(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(5, a), (2, a), (5, b), (9, b), (7, "x y z")]
+    got = told(near.near(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == expected(rows, near.N, near.T) == {2: (2, 1), 5: (2, 2), 9: (2, 1), 7: (7, 0)}
 
 
 def test_keep_one(corpus, corpus_rows):
@@ -74,7 +116,7 @@ def test_keep_one(corpus, corpus_rows):
 def test_empty_table(nothing, spark):
     assert near.near(nothing).collect() == [] and near.keep_one(nothing).collect() == []
     lone = spark.createDataFrame([(1, "a b c d"), (2, "e f g h")], "doc_id long, text string")
-    assert near.near(lone).collect() == [] and near.keep_one(lone).count() == 2
+    assert told(near.near(lone)) == {1: (1, 0), 2: (2, 0)} and near.near_pairs(lone).collect() == [] and near.keep_one(lone).count() == 2
 
 
 def test_squeeze_round_trip():
