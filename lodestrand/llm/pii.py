@@ -3,16 +3,16 @@
 A text is cut into islands: runs of space-separated chunks that hold a digit, '@', '=', a secret word with its colon or the start of a key, with the whole
 chunk on either side. In what lies between no segment has a feature that speaks for an entity, so the field decides each island by
 itself and the rest is certain to be outside. An island's tokens are runs of letters and digits and single other
-characters. A segmentation divides them into entities of 1 to MAX_TOKENS tokens (of any number of characters, in one line), each of one type, and single tokens
+characters, a key with a known prefix or a web token being one. A segmentation divides them into entities of 1 to MAX_TOKENS tokens (of any number of characters, in one line), each of one type, and single tokens
 outside. Whole-span features score each candidate segment: the shape of the span as a whole, checksum, digits, what
-stands before and after it. The dynamic program over (end, length, type) finds the best segmentation, boundaries and types at once;
+stands before and after it. Transition scores join the types of neighbouring segments (outside is a type here). The dynamic program over (end, length, type, type before) finds the best segmentation, boundaries and types at once;
 training maximises the likelihood of whole segmentations by the forward-backward form of the same program (Sarawagi and
 Cohen 2004), on sentences made here by a seeded generator, with numbers, versions, dates, prices and code among them
 that are not personal.
 
 Result: (doc_id, type, start, length): an entity's place in characters; its text is not copied.
 Defined results: null and empty texts have no entity. Repeated rows and null doc_ids give rows like any other. Texts of any
-length are searched as a whole. Ties go to the segmentation with the shorter last segment, then to the type first in TYPES.
+length are searched as a whole; doc_id is an integer or what casts to one. Ties go to the segmentation with the shorter last segment, then to the type first in TYPES.
 """
 
 from __future__ import annotations
@@ -32,13 +32,17 @@ from .common import arrow_map
 
 TYPES = ("EMAIL", "PHONE", "CARD", "IP", "SECRET", "SSN", "IBAN")
 MAX_TOKENS = 16
-_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+_PREFIXED = r"(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{12,}"
+_WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}"
+_TOKEN = re.compile(rf"{_WEB_TOKEN}|{_PREFIXED}|[^\W_]+|[^\w\s]|_")
 _CHUNK = re.compile(r"\S+")
 
 #: Shapes of a whole span.
 SHAPES = {
     "email": re.compile(r"[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
+    "ip6": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
+    "ip6_short": re.compile(r"(?=[^\d]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?"),
     "phone_plus": re.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"),
     "phone_local": re.compile(r"\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}"),
     "digits_grouped": re.compile(r"\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}"),
@@ -46,14 +50,15 @@ SHAPES = {
     "ssn": re.compile(r"\d{3}-\d{2}-\d{4}"),
     "iban": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     "cloud_key": re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}"),
-    "prefixed_key": re.compile(r"(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{12,}"),
+    "prefixed_key": re.compile(_PREFIXED),
+    "web_token": re.compile(_WEB_TOKEN),
     "hex_long": re.compile(r"(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{12,}"),
     "date": re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}"),
 }
 _SECRET_WORD = re.compile(r"(?:password|passwd|pwd|secret|token|api_?key|key)\s*[=:]\s*[\"']?$", re.I)
 #: Characters before a value in which its secret word is looked for.
 _LEAD = 24
-_TRIGGER = re.compile(r"[\d@=]+|A[KS]IA|[kpob][-_](?=[A-Za-z0-9_-]{12})")
+_TRIGGER = re.compile(r"[\d@=]+|::|A[KS]IA|[kpob][-_](?=[A-Za-z0-9_-]{12})|eyJ")
 
 
 def luhn(s: str) -> bool:
@@ -126,17 +131,22 @@ def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, start, end)]
 
 
+OUT = len(TYPES)
+
+
 class Field:
-    """Weights of (type, feature); outside tokens score 0."""
+    """Weights of (type, feature) and of (type before, type), OUT being outside; outside tokens have no features."""
 
-    def __init__(self, weights: dict[tuple[int, str], float]) -> None:
+    def __init__(self, weights: dict[tuple, float]) -> None:
         self.weights = weights
         self.lists = {}
+        self.trans = [[weights.get((a, b), 0.0) for b in range(OUT + 1)] for a in range(OUT + 1)]
         for (k, f), w in weights.items():
-            self.lists.setdefault(f, [0.0] * len(TYPES))[k] = w
+            if isinstance(f, str):
+                self.lists.setdefault(f, [0.0] * OUT)[k] = w
 
     def scores(self, features: list[str]) -> list[float]:
-        total = [0.0] * len(TYPES)
+        total = [0.0] * OUT
         for f in features:
             w = self.lists.get(f)
             if w:
@@ -159,22 +169,31 @@ def segments(text: str, toks: list[tuple[int, int]]):
 
 
 def decode(field: Field, text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities as (first token, tokens, type)."""
-    cand = segments(text, toks)
-    best, back = [0.0] * (len(toks) + 1), [(1, -1)] * (len(toks) + 1)
+    """The best segmentation's entities as (first token, tokens, type). A text begins after an outside token."""
+    cand, trans = segments(text, toks), field.trans
+    best: list[dict[int, float]] = [{OUT: 0.0}]
+    back: list[dict[int, tuple[int, int]]] = [{}]
     for j in range(1, len(toks) + 1):
-        top, how = best[j - 1], (1, -1)
+        own, how = {}, {}
+        for y, s in best[j - 1].items():
+            s += trans[y][OUT]
+            if OUT not in own or s > own[OUT]:
+                own[OUT], how[OUT] = s, (1, y)
         for n, f in cand[j]:
-            for k, s in enumerate(field.scores(f)):
-                if best[j - n] + s > top:
-                    top, how = best[j - n] + s, (n, k)
-        best[j], back[j] = top, how
+            for k, w in enumerate(field.scores(f)):
+                for y, s in best[j - n].items():
+                    s += w + trans[y][k]
+                    if k not in own or s > own[k]:
+                        own[k], how[k] = s, (n, y)
+        best.append(own)
+        back.append(how)
     out, j = [], len(toks)
+    y = max(best[j], key=lambda y: (best[j][y], y == OUT, -y))
     while j:
-        n, k = back[j]
-        if k >= 0:
-            out.append((j - n, n, k))
-        j -= n
+        n, before = back[j][y]
+        if y != OUT:
+            out.append((j - n, n, y))
+        j, y = j - n, before
     return out[::-1]
 
 
@@ -183,24 +202,55 @@ def _lse(xs: list[float]) -> float:
     return top + math.log(sum(math.exp(x - top) for x in xs))
 
 
-def gradient(field: Field, cand, n_toks: int, gold: set[tuple[int, int, int]]) -> dict[tuple[int, str], float]:
-    """Observed less expected features of one island, by forward and backward sums over segmentations."""
-    edges = [(j - n, j, k, s, f) for j in range(1, n_toks + 1) for n, f in cand[j] for k, s in enumerate(field.scores(f))]
-    into: list[list] = [[] for _ in range(n_toks + 1)]
-    outof: list[list] = [[] for _ in range(n_toks + 1)]
-    for e in edges:
-        into[e[1]].append(e)
-        outof[e[0]].append(e)
-    fwd, bwd = [0.0] * (n_toks + 1), [0.0] * (n_toks + 1)
+def edges_of(field: Field, cand, n_toks: int) -> list[list[tuple[int, int, int, float, list[str]]]]:
+    """For each end j, (start, type before, type, score, features) of the last steps to it."""
+    labels = [{OUT}, *({OUT} | ({*range(OUT)} if own else set()) for own in cand[1:])]
+    out: list[list] = [[]]
     for j in range(1, n_toks + 1):
-        fwd[j] = _lse([fwd[j - 1], *[fwd[i] + s for i, _, _, s, _ in into[j]]])
+        own = [(j - 1, y, OUT, field.trans[y][OUT], []) for y in labels[j - 1]]
+        for n, f in cand[j]:
+            own += [(j - n, y, k, w + field.trans[y][k], f) for k, w in enumerate(field.scores(f)) for y in labels[j - n]]
+        out.append(own)
+    return out
+
+
+def forward(edges, n_toks: int) -> list[dict[int, float]]:
+    fwd: list[dict[int, float]] = [{OUT: 0.0}]
+    for j in range(1, n_toks + 1):
+        into: dict[int, list[float]] = {}
+        for i, y, k, s, _ in edges[j]:
+            into.setdefault(k, []).append(fwd[i][y] + s)
+        fwd.append({k: _lse(x) for k, x in into.items()})
+    return fwd
+
+
+def gradient(field: Field, cand, n_toks: int, gold: set[tuple[int, int, int]]) -> dict[tuple, float]:
+    """Observed less expected features and transitions of one island, by forward and backward sums over segmentations."""
+    edges = edges_of(field, cand, n_toks)
+    fwd = forward(edges, n_toks)
+    outof: list[dict[int, list]] = [{} for _ in range(n_toks + 1)]
+    for j in range(1, n_toks + 1):
+        for i, y, k, s, f in edges[j]:
+            outof[i].setdefault(y, []).append((j, k, s))
+    bwd: list[dict[int, float]] = [{} for _ in range(n_toks)] + [dict.fromkeys(fwd[n_toks], 0.0)]
     for i in range(n_toks - 1, -1, -1):
-        bwd[i] = _lse([bwd[i + 1], *[bwd[j] + s for _, j, _, s, _ in outof[i]]])
-    g: dict[tuple[int, str], float] = {}
-    for i, j, k, s, f in edges:
-        d = ((i, j - i, k) in gold) - math.exp(fwd[i] + s + bwd[j] - fwd[-1])
-        for x in f:
-            g[k, x] = g.get((k, x), 0.0) + d
+        bwd[i] = {y: _lse([bwd[j][k] + s for j, k, s in own]) for y, own in outof[i].items()}
+    total = _lse(list(fwd[n_toks].values()))
+    # the gold segmentation: its entities that are candidates, all else outside
+    starts = {i: (i + n, k) for i, n, k in gold if any(m == n for m, _ in cand[i + n])}
+    taken, at, before = set(), 0, OUT
+    while at < n_toks:
+        end, k = starts.get(at, (at + 1, OUT))
+        taken.add((at, end, before, k))
+        at, before = end, k
+    g: dict[tuple, float] = {}
+    for j in range(1, n_toks + 1):
+        for i, y, k, s, f in edges[j]:
+            d = ((i, j, y, k) in taken) - math.exp(fwd[i][y] + s + bwd[j][k] - total)
+            if abs(d) > 1e-12:
+                g[y, k] = g.get((y, k), 0.0) + d
+                for x in f:
+                    g[k, x] = g.get((k, x), 0.0) + d
     return g
 
 
@@ -225,18 +275,26 @@ def sentences(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int
                 return x
 
     octet = lambda: str(r.randint(0, 255))
+
+    def ip6() -> str:
+        groups = [hexa(r.randint(1, 4)) for _ in range(8)]
+        if r.random() < 0.4:
+            return ":".join(groups)
+        i = r.randint(1, 4)
+        return ":".join(groups[:i]) + "::" + ":".join(groups[i : i + r.randint(0, 3)])
+
     personal = [
         (0, lambda: f"{word()}{r.choice(['', '.', '_', '-', '+'])}{word(1, 5)}{r.choice(['', '.' + digits(2), digits(2)])}@{word()}{r.choice(['', digits(1)])}.{r.choice(['', word() + '.'])}{r.choice(['com', 'org', 'net', 'de', 'fr', 'co.uk'])}"),
         (1, lambda: r.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(2)}-{digits(2)}-{digits(4)}-{digits(4)}"])),
         (2, card),
-        (3, lambda: ".".join(octet() for _ in range(4))),
-        (4, lambda: r.choice(["AKIA" + upper(16), "sk-" + word(16, 24), "ghp_" + upper(24), hexa(r.randint(18, 40)) + "a1"])),
+        (3, lambda: ".".join(octet() for _ in range(4)) if r.random() < 0.7 else ip6()),
+        (4, lambda: r.choice(["AKIA" + upper(16), "sk-" + word(16, 24), "ghp_" + upper(24), hexa(r.randint(18, 40)) + "a1", ".".join(["eyJ" + upper(20), "eyJ" + upper(30), upper(24)])])),
         (5, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"),
         (6, lambda: f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"),
     ]
     plain = [
         number, lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}",
-        lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"x = {digits(2)}", lambda: f"{word()}={word()}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(3)}-{digits(4)}", lambda: f"{word()}{digits(3)}", lambda: f"{digits(3)}.{digits(3)}.{r.randint(300, 999)}.{digits(2)}",
+        lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"x = {digits(2)}", lambda: f"{word()}={word()}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{word()}::{word()}", lambda: f"{r.choice('abcdef')}::{r.choice('abcdef')}()", lambda: f"{digits(3)}-{digits(4)}", lambda: f"{word()}{digits(3)}", lambda: f"{digits(3)}.{digits(3)}.{r.randint(300, 999)}.{digits(2)}",
         lambda: f"{digits(1)}.{digits(1)}.", lambda: f"{word()}@", lambda: f"a={digits(2)}",
     ]
     out = []
@@ -273,8 +331,8 @@ def train(n: int = 500, epochs: int = 6, rate: float = 0.3, l2: float = 0.002, s
             starts, ends = {s: i for i, (s, _) in enumerate(toks)}, {e: i for i, (_, e) in enumerate(toks)}
             own = {(starts[s], ends[e] - starts[s] + 1, k) for s, e, k in gold if s in starts and e in ends}
             cases.append((segments(text, toks), len(toks), own))
-    weights: dict[tuple[int, str], float] = {(k, "any"): -2.0 for k in range(len(TYPES))}
-    seen: dict[tuple[int, str], float] = {}
+    weights: dict[tuple, float] = {(k, "any"): -2.0 for k in range(len(TYPES))}
+    seen: dict[tuple, float] = {}
     order = random.Random(seed)
     for _ in range(epochs):
         order.shuffle(cases)

@@ -4,58 +4,74 @@ import random
 from lodestrand.llm import pii
 
 
-def brute(field, text, toks):
-    """The best of all segmentations, one after another."""
-    cand = pii.segments(text, toks)
-
-    def walk(i):
-        if i == len(toks):
-            yield 0.0, ()
-            return
-        for s, rest in walk(i + 1):
-            yield s, rest
-        for j in range(i + 1, len(toks) + 1):
-            for n, f in cand[j]:
-                if j - n == i:
-                    for k, w in enumerate(field.scores(f)):
-                        for s, rest in walk(j):
-                            yield s + w, ((i, n, k), *rest)
-
-    return max(walk(0), key=lambda x: x[0])
+def path_score(field, cand, n_toks, entities):
+    """Score of the segmentation that has these (first, tokens, type) and is outside elsewhere."""
+    starts, at, before, total = {i: (n, k) for i, n, k in entities}, 0, pii.OUT, 0.0
+    while at < n_toks:
+        n, k = starts.get(at, (1, pii.OUT))
+        total += field.weights.get((before, k), 0.0)
+        if k != pii.OUT:
+            total += sum(field.weights.get((k, f), 0.0) for f in dict(cand[at + n])[n])
+        at, before = at + n, k
+    return total
+
+
+def all_segmentations(cand, n_toks, i=0):
+    """Every segmentation, as its entities."""
+    if i == n_toks:
+        yield ()
+        return
+    yield from all_segmentations(cand, n_toks, i + 1)
+    for j in range(i + 1, n_toks + 1):
+        for n, _ in cand[j]:
+            if j - n == i:
+                for k in range(len(pii.TYPES)):
+                    for rest in all_segmentations(cand, n_toks, j):
+                        yield ((i, n, k), *rest)
+
+
+def loose(r):
+    """A field of random weights, in which transitions count for much."""
+    return pii.Field({(k, f): r.uniform(-2, 2) for k in range(len(pii.TYPES)) for f in ["any", *pii.SHAPES, "luhn", "joined_left"]} | {(a, b): r.uniform(-2, 2) for a in range(pii.OUT + 1) for b in range(pii.OUT + 1)})
 
 
 def test_program_finds_the_best_of_all_segmentations():
     r = random.Random(3)
-    field = pii.train()
-    loose = pii.Field({(k, f): r.uniform(-2, 2) for k in range(len(pii.TYPES)) for f in ["any", *pii.SHAPES, "luhn", "joined_left"]})
+    field, mine = pii.train(), loose(r)
     for text, _ in pii.sentences(60, seed=9):
         for a, b in pii.islands(text):
             toks = pii.tokens(text, a, b)[:9]
-            for f in (field, loose):
-                score, _ = brute(f, text, toks)
-                cand = {(j - n, n): x for j, own in enumerate(pii.segments(text, toks)) for n, x in own}
+            cand = pii.segments(text, toks)
+            for f in (field, mine):
+                want = max(path_score(f, cand, len(toks), x) for x in all_segmentations(cand, len(toks)))
                 got = pii.decode(f, text, toks)
-                assert abs(sum(f.scores(cand[i, n])[k] for i, n, k in got) - score) < 1e-9
+                assert abs(path_score(f, cand, len(toks), got) - want) < 1e-9
                 assert all(i + n <= j for (i, n, _), (j, _, _) in itertools.pairwise(got))
 
 
-def test_gradient_against_differences():
-    field = pii.Field({(k, "any"): -0.5 + 0.1 * k for k in range(len(pii.TYPES))} | {(0, "email"): 1.0, (3, "ip"): 0.7})
-    text = "mail a.b@c.de or 10.2.3.4 now"
-    (a, b), = pii.islands(text)
-    toks = pii.tokens(text, a, b)
+def test_transitions_decide():
+    text = "10.2.3.4 10.2.3.5"
+    toks = pii.tokens(text, 0, len(text))
+    alike = {(k, "any"): -9.0 for k in range(pii.OUT)} | {(3, "ip"): 1.0, (3, "any"): -0.5}
+    got = lambda w: [k for _, _, k in pii.decode(pii.Field(alike | w), text, toks)]
+    assert got({}) == [3, 3] and got({(3, 3): -0.9}) == [3] and got({(3, 3): -9.0, (pii.OUT, 3): -1.0}) == []
+
+
+def test_gradient_against_all_segmentations():
+    r = random.Random(5)
+    field = loose(r)
+    text = "mail a.b@c.de 10.2.3.4 now"
+    toks = pii.tokens(text, 0, len(text))
     cand = pii.segments(text, toks)
-    gold = {(toks.index((5, 6)), 7, 0)}
+    gold = [(toks.index((5, 6)), 7, 0), (toks.index((14, 16)), 7, 3)]
 
     def likelihood(f):
-        fwd = [0.0]
-        for j in range(1, len(toks) + 1):
-            fwd.append(pii._lse([fwd[-1], *[fwd[j - n] + s for n, x in cand[j] for s in f.scores(x)]]))
-        own = sum(f.scores(dict((n, x) for n, x in cand[i + n])[n])[k] for i, n, k in gold)
-        return own - fwd[-1]
-
-    g = pii.gradient(field, cand, len(toks), gold)
-    for key in ((0, "email"), (3, "ip"), (1, "any")):
+        scores = [path_score(f, cand, len(toks), x) for x in all_segmentations(cand, len(toks))]
+        assert abs(pii._lse(scores) - pii._lse(list(pii.forward(pii.edges_of(f, cand, len(toks)), len(toks))[-1].values()))) < 1e-9
+        return path_score(f, cand, len(toks), gold) - pii._lse(scores)
+
+    g = pii.gradient(field, cand, len(toks), set(gold))
+    for key in ((0, "email"), (3, "ip"), (1, "any"), (0, 3), (3, pii.OUT), (pii.OUT, 0), (pii.OUT, pii.OUT)):
         up, down = (pii.Field(field.weights | {key: field.weights[key] + d}) for d in (1e-5, -1e-5))
         assert abs((likelihood(up) - likelihood(down)) / 2e-5 - g[key]) < 1e-4
 
@@ -96,6 +112,11 @@ def test_long_tokens_and_values_of_letters():
     assert one(f"write to {mail} now") == [("EMAIL", mail)]
     assert one(f"see ghp_{letters} there") == [("SECRET", "ghp_" + letters)]
     assert one(f"password={'Ab1' * 40}") == [("SECRET", "Ab1" * 40)]
+    web = f"eyJ{'hbGci-' * 20}.eyJ{'zd_Wi' * 30}.{'Sfl-Kx' * 9}"
+    assert one(f"Authorization: Bearer {web}, next") == [("SECRET", web)]
+    assert one("from 2001:db8:0:1:2:3:4:5, fe80::1ff:2 and ::1.") == [("IP", "2001:db8:0:1:2:3:4:5"), ("IP", "fe80::1ff:2"), ("IP", "::1")]
+    assert one("at 10:20:30 std::vector a::b() ratio 3:4") == []
+    assert one("password: swordfish") == [("SECRET", "swordfish")] == one("password = swordfish")
     assert one("password: hunterabc") == [("SECRET", "hunterabc")]
     assert one(f"its secret :\n{letters} ends") == [("SECRET", letters)]
     assert one("the secrets are: kept well") == one("a key, hunterabc") == []
