@@ -5,10 +5,10 @@ names its prefixes; a conversation whose hash is a proper prefix of another goes
 conv_id of two that are equal. Both are anti-joins on (turns, hash), 128 bits, so no texts are shuffled to compare them. What is left is
 rendered.
 
-The turns of a conversation are ordered by turn, role, text (nulls first). Prefixes are of whole turns.
+The turns of a conversation are ordered by turn (null first), role, text. conv_id and turn are integers or cast to one. Prefixes are of whole turns.
 Result: (conv_id, n_turns, chat), chat being for each turn <|im_start|>role, newline, text, <|im_end|>, newline.
-Defined results: rows without conv_id belong to no conversation and are left out. Rows that repeat another are one turn. A null role or text
-counts as empty. The markers inside a text are set apart with a space after '<' so that a text can't forge a turn. Other columns take
+Defined results: rows without conv_id belong to no conversation and are left out. A null role or text
+counts as empty; rows that then repeat another are one turn. The markers inside a text are set apart with a space after '<' so that a text can't forge a turn. Other columns take
 no part.
 """
 
@@ -23,14 +23,14 @@ from ..cluster import drop_written, written
 def render(turns: Column) -> Column:
     def one(t: Column) -> Column:
         safe = lambda c: F.replace(F.replace(c, F.lit("<|im_"), F.lit("< |im_")), F.lit("|im_end|"), F.lit("|im_end |"))
-        return F.concat(F.lit("<|im_start|>"), safe(F.coalesce(t["role"], F.lit(""))), F.lit("\n"), safe(F.coalesce(t["text"], F.lit(""))), F.lit("<|im_end|>\n"))
+        return F.concat(F.lit("<|im_start|>"), safe(t["role"]), F.lit("\n"), safe(t["text"]), F.lit("<|im_end|>\n"))
 
     return F.array_join(F.transform(turns, one), "")
 
 
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order."""
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.where("conv_id is not null").groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_set(turn)).alias("turns"))
 
 
@@ -40,7 +40,7 @@ def prefixes(convs: DataFrame) -> DataFrame:
     The hash of a prefix is the exclusive or of its turns' hashes, each with its place, so that it rolls as a running aggregate.
     """
     turns = convs.select("conv_id", F.size("turns").alias("size"), F.posexplode("turns").alias("i", "t"))
-    own = [F.xxhash64("i", F.coalesce("t.role", F.lit("")), F.lit(salt), F.coalesce("t.text", F.lit(""))) for salt in (1, 2)]
+    own = [F.xxhash64("i", "t.role", F.lit(salt), "t.text") for salt in (1, 2)]
     w = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return turns.select("conv_id", "size", "i", own[0].alias("a"), own[1].alias("b")).select("conv_id", (F.col("i") + 1).alias("n"), F.bit_xor("a").over(w).alias("h1"), F.bit_xor("b").over(w).alias("h2"), "size")
 
