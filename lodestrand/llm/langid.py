@@ -7,7 +7,7 @@ has none either counts for nothing. The language of the largest mean score per w
 
 Defined results: every row of the input has one row in the result. Null or empty texts, and texts that have no word that
 can be scored, get lang 'und' and margin 0. Ties go to the language first in alphabetical order. Rows whose label is
-null or empty take no part in training. Without any labelled row every text is 'und'.
+null or empty take no part in training. doc_id is an integer or what casts to one. Without any labelled row every text is 'und'.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import sized, written
 from . import vec
 from .common import arrow_map
 
@@ -36,6 +37,8 @@ class Params:
 
 
 WORD = 0
+#: Of the hash by which labelled rows are chosen.
+_SLICE_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -80,14 +83,16 @@ def count(texts: list[str | None], max_n: int) -> tuple[np.ndarray, np.ndarray,
 def train(docs: DataFrame, p: Params = Params()) -> Model:
     """Fits on docs(doc_id, text, lang), at most p.max_labelled texts of each language."""
     known = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).where("id is not null and l <> ''")
-    langs = sorted(r[0] for r in known.select("l").distinct().collect())
+    known = known.select("id", "l", F.xxhash64("id").alias("h")).withColumn("slice", F.shiftright("h", 64 - _SLICE_BITS))
+    # the slices of the hash in which a language's first max_labelled rows lie; only the last of them has rows to be left out
+    counts = known.groupBy("l", "slice").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("l").orderBy("slice")) - F.col("n"))
+    cuts = written(counts.where(F.col("before") < p.max_labelled))
+    langs = sorted(r[0] for r in cuts.select("l").distinct().collect())
     if not langs:
         return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), p)
-    share = [known.where(F.col("l") == lang).orderBy(F.xxhash64("id"), "id").limit(p.max_labelled) for lang in langs]
-    chosen = share[0]
-    for other in share[1:]:
-        chosen = chosen.unionByName(other)
-    chosen = chosen.distinct()
+    own = known.join(sized(cuts, 64), ["l", "slice"])
+    last = own.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("l", "slice").orderBy("h", "id")))
+    chosen = last.where(F.col("k") <= p.max_labelled).select("id", "l").distinct()
     text = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "text").where("text is not null").join(F.broadcast(chosen), ["id", "l"])  # p.max_labelled bounds it
 
     def each(pdfs):
