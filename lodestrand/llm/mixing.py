@@ -9,7 +9,7 @@ The prefix is found without sorting a leaf as a whole: tokens are first summed b
 first hex digits), and only the slice where the budget ends is sorted. A leaf of any size spreads over all tasks.
 
 Defined results: a document that would exceed the budget ends the prefix, so a leaf never has more than its budget, and
-less by under one doc_id: rows of one doc_id are taken or left together in an epoch. Null lang, source and domain are leaves of their own, named ''. Documents without tokens
+less by under one doc_id (of any type): rows of one doc_id are taken or left together in an epoch. Null lang, source and domain are leaves of their own, named ''. Documents without tokens
 (null, empty or blank) are never chosen. Weights not given are 1; weights below 0 count as 0.
 """
 
@@ -20,11 +20,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import drop_written, written
+from ..cluster import BROADCAST_BYTES, drop_written, written
 from .packing import count_tokens
 
 Path = tuple[str, ...]
 _P = "__lodestrand_"
+#: Name of the column with the epoch; names with this prefix are reserved.
+EPOCH = _P + "epoch"
+#: Bytes of a row about a leaf.
+_ROW_BYTES = 400
 
 
 @dataclass(frozen=True)
@@ -99,7 +103,7 @@ def order_key(epoch: Column, doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, p: Params = Params(weights=WEIGHTS), leaf: tuple[Column, ...] | None = None, tokens: Column | None = None) -> DataFrame:
-    """The chosen rows of docs with all their columns, and the epoch (from 0) each is chosen for, as the last column __epoch.
+    """The chosen rows of docs with all their columns, and the epoch (from 0) each is chosen for, as the last column EPOCH.
 
     Two passes: tokens by document, from which the budgets and the end of each leaf's prefix follow; then a pass that
     picks the rows as it reads them, without a shuffle.
@@ -108,15 +112,16 @@ def mix(docs: DataFrame, p: Params = Params(weights=WEIGHTS), leaf: tuple[Column
     n, ident, key, cum, head, whole, rest, cut, room, bound = (_P + x for x in ("tokens", "id", "key", "cum", "head", "whole", "rest", "cut", "room", "bound"))
     cols = [F.coalesce(c.cast("string"), F.lit("")).alias(x) for c, x in zip(leaf or (domain(F.col("source")), F.col("lang"), F.col("source")), names)]
     sizes = written(docs.select(*cols, (count_tokens(F.col("text")) if tokens is None else tokens).cast("long").alias(n), F.col("doc_id").alias(ident)).where(F.col(n) > 0))
-    # one row for each leaf of the tree, as the weights have them, goes to the driver
+    # one row for each leaf of the tree goes to the driver, which divides the budgets
     totals = {tuple(r[x] for x in names): r["t"] for r in sizes.groupBy(names).agg(F.sum(n).alias("t")).collect()}
     budget = {k: b for k, b in budgets(totals, p).items() if b > 0}
     if not budget:
         drop_written(sizes)
-        return docs.limit(0).withColumn("__epoch", F.lit(0))
+        return docs.limit(0).withColumn(EPOCH, F.lit(0))
 
     def plan(rows: list[tuple], more: str) -> DataFrame:
-        return F.broadcast(docs.sparkSession.createDataFrame(rows, ", ".join(f"{x} string" for x in names) + ", " + more))
+        got = docs.sparkSession.createDataFrame(rows, ", ".join(f"{x} string" for x in names) + ", " + more)
+        return F.broadcast(got) if len(rows) * _ROW_BYTES <= BROADCAST_BYTES else got
 
     shape = {k: (b // totals[k], b % totals[k]) for k, b in sorted(budget.items())}
     part = sizes.join(plan([(*k, *x) for k, x in shape.items() if x[1]], f"{whole} long, {rest} long"), names).withColumn(key, order_key(F.col(whole), F.col(ident), p.seed)).withColumn(head, F.substring(key, 1, p.slices_hex))
@@ -134,10 +139,10 @@ def mix(docs: DataFrame, p: Params = Params(weights=WEIGHTS), leaf: tuple[Column
     k = order_key(F.col(whole), F.col("doc_id"), p.seed)
     # before the cut, or in its slice up to the bound; without a cut nothing of a further epoch
     times = F.col(whole) + F.when((F.col(cut) != "") & (k <= F.col(bound)), 1).otherwise(0)
-    return at.where(times > 0).select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias("__epoch"))
+    return at.where(times > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias(EPOCH))
 
 
 def mixed_ids(docs: DataFrame, p: Params = Params(weights=WEIGHTS)) -> DataFrame:
     """(doc_id, epoch) of every chosen row."""
     slim = docs.select("doc_id", "lang", "source", "text")
-    return mix(slim, p).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__epoch").alias("epoch"))
+    return mix(slim, p).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(EPOCH).alias("epoch"))

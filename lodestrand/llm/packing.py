@@ -11,7 +11,7 @@ divided by hash of doc_id into shards of about shard_tokens tokens, each packed
 only (doc_id, tokens) moves and the number of shards follows the corpus; a shard leaves few windows partly filled.
 
 Result: (shard, window, slot, doc_id, start, tokens): piece [start, start + tokens) of the document's tokens is the slot-th of that window.
-Defined results: null and empty texts and those without a token have no piece. A null doc_id is packed like any other.
+Defined results: null and empty texts and those without a token have no piece. A null doc_id is packed like any other; doc_id is an integer or what casts to one.
 Repeated rows are packed as often as they occur. Ties between levels go to the fullest, a new window last.
 """
 

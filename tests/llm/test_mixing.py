@@ -42,13 +42,23 @@ def brute(rows, p, tokens=lambda t: len(re.findall(r"\S+", t or ""))):
 
 def test_against_epochs_written_out(corpus, corpus_rows):
     for p in (mixing.Params(weights=mixing.WEIGHTS), mixing.Params(weights={("d0",): 9.0, ("d1",): 0.0, ("d2", "de"): 5.0}, share=0.7, seed=3, slices_hex=1), mixing.Params(share=2.5, max_epochs=3, slices_hex=2)):
-        got = Counter((r["doc_id"], r["text"], r["__epoch"]) for r in mixing.mix(corpus, p).collect())
+        got = Counter((r["doc_id"], r["text"], r[mixing.EPOCH]) for r in mixing.mix(corpus, p).collect())
         # rows of one id that are in several leaves are told apart by nothing in the result: compare as bags
         assert got == Counter(brute(corpus_rows, p))
 
 
 def test_columns_stay(corpus):
-    assert mixing.mix(corpus).columns == [*corpus.columns, "__epoch"]
+    assert mixing.mix(corpus).columns == [*corpus.columns, mixing.EPOCH]
+
+
+def test_the_stage_keeps_columns_of_any_name(spark, corpus_rows):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(corpus_rows, "doc_id long, text string, lang string, source string, n_chars int").withColumns({"__epoch": F.lit(7), "a.b": F.lit("x")})
+    out = corpus_pipeline.mix_sources(spark, docs, "")
+    assert out.columns == docs.columns and {r["__epoch"] for r in out.collect()} == {7}
 
 
 def test_shortage_goes_to_siblings_first():
