@@ -99,10 +99,19 @@ def audit_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9_]+|[가-힣]{2,}|[一-龥]{2,}|[0-9]{2,}"), F.lit(0)), lambda x: F.lower(x)))
 
 
+#: Lines that hold one of these stand for a page without text.
+PLACEHOLDERS = ("OCR/VLM processing required", "Full page render for page")
+
+
 def normalise_query(text: Column) -> Column:
-    """Markdown marks off, white space squeezed, placeholder lines dropped."""
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.lower(F.trim(x)).rlike(r"^\[?(image|table|figure|page) (omitted|placeholder)\]?$")), "\n")
-    return squeeze_ws(F.regexp_replace(kept, r"[#*`|>_~]", " "))
+    """Markdown marks to spaces, white space squeezed."""
+    return squeeze_ws(F.regexp_replace(text, r"[|#*_`>\[\]()]", " "))
+
+
+def meaningful_text(text: Column) -> Column:
+    """normalise_query() of the lines that are no placeholder."""
+    kept = F.filter(F.split(text, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda x: ~(F.contains(x, F.lit(PLACEHOLDERS[0])) | F.contains(x, F.lit(PLACEHOLDERS[1]))))
+    return normalise_query(F.array_join(kept, " "))
 
 
 def context_prefix(section: Column, first: Column, last: Column) -> Column:
@@ -149,47 +158,70 @@ def bbox_region(box: Column) -> Column:
 
 
 def source_family(source: Column) -> Column:
-    s = F.lower(source)
+    """What kind of evidence a hit's source gives, as metrics group it."""
+    s = F.lower(F.trim(source))
+    has = lambda *names: F.greatest(*[F.contains(s, F.lit(n)) for n in names]) if len(names) > 1 else F.contains(s, F.lit(names[0]))
     return (
-        F.when(s.contains("triple_dense"), "graph")
-        .when(s.rlike("caption|object|image"), "visual")
-        .when(s.rlike("dense|text_dense"), "dense_text")
-        .when(s.startswith("rerank"), "reranker")
-        .when(s.rlike("bm25|lexical"), "lexical")
+        F.when(has("triple_dense"), "graph")
+        .when(has("caption_dense", "object_dense", "image_dense"), "visual")
+        .when((s == "dense") | has("text_dense"), "dense_text")
+        .when(F.startswith(s, F.lit("rerank:")), "reranker")
+        .when((s == "bm25") | has("lexical"), "lexical")
+        .when(s == "graph", "graph")
+        .when(s == "", "unknown")
         .otherwise(F.substring_index(s, ":", 1))
     )
 
 
+def fusion_family(source: Column) -> Column:
+    """What a weight may be given to besides the source itself: its name up to the first colon."""
+    return F.substring_index(source, ":", 1)
+
+
 def confidence(value: Column, *, percent: bool = False, strict: bool = False) -> Column:
-    """A confidence within 0..1: clamped; with percent, 1..100 is taken as percent; with strict, what lies outside is null."""
-    v = F.regexp_replace(value.cast("string"), r"[%\s]", "").try_cast("double")
+    """A confidence within 0..1: clamped; with percent, one per cent sign at the end goes and what lies above 1 and up to 100 is divided by 100; with strict, what lies
+    outside is null. What is no number is null, 85% without percent too."""
+    t = F.trim(value.cast("string"))
+    v = (F.trim(F.regexp_replace(t, "%$", "")) if percent else t).try_cast("double")
     if percent:
         v = F.when((v > 1) & (v <= 100), v / 100).otherwise(v)
-    return F.when((v >= 0) & (v <= 1), v) if strict else F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    return F.when((v >= 0) & (v <= 1), F.round(v, 6)) if strict else F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
-def table_markdown(cells: Column) -> Column:
-    """Rows of cells as a Markdown table: cells cleaned, empty rows dropped, rows padded, pipes escaped; the first row heads it."""
-    tidy = F.transform(cells, lambda r: F.transform(r, lambda c: F.replace(squeeze_ws(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|"))))
+def table_cells(cells: Column) -> Column:
+    """Cells with white space squeezed, rows padded to one width; rows and columns without any text go."""
+    tidy = F.transform(cells, lambda r: F.transform(r, lambda c: squeeze_ws(F.coalesce(c, F.lit("")))))
     rows = F.filter(tidy, lambda r: F.exists(r, lambda c: c != ""))
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n"))
+    width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+    at = lambda r, i: F.coalesce(F.get(r, i), F.lit(""))
+    columns = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.filter(columns, lambda i: F.exists(rows, lambda r: at(r, i) != ""))
+    return F.transform(rows, lambda r: F.transform(kept, lambda i: at(r, i)))
+
+
+def table_markdown(table: Column) -> Column:
+    """table_cells() as Markdown: pipes escaped; the first row heads it. Null without a row."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(table[0], lambda c: F.lit("---")), " | "), F.lit(" |"))
+    return F.when(F.size(table) > 0, F.array_join(F.concat(F.array(line(table[0]), rule), F.transform(F.slice(table, 2, F.greatest(F.size(table) - 1, F.lit(1))), line)), "\n"))
 
 
-def table_useful(cells: Column) -> Column:
-    """At least two rows and columns, as many filled cells as rows and columns make, few control characters."""
-    flat = F.flatten(cells)
-    filled = F.size(F.filter(flat, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
-    width = F.coalesce(F.array_max(F.transform(cells, lambda r: F.size(r))), F.lit(0))
+def table_useful(table: Column, rows: int = 2, cols: int = 2, control: float = 0.02) -> Column:
+    """Whether table_cells() has enough rows and columns, rows * cols filled cells, and few control characters."""
+    flat = F.flatten(table)
+    width = F.coalesce(F.array_max(F.transform(table, lambda r: F.size(r))), F.lit(0))
     text = F.array_join(flat, "")
-    return (F.size(cells) >= 2) & (width >= 2) & (filled >= F.greatest(F.size(cells), width)) & (ratio(control_chars(text), F.length(text)) <= 0.02)
+    return (F.size(table) >= rows) & (width >= cols) & (F.size(F.filter(flat, lambda c: c != "")) >= rows * cols) & (ratio(control_chars(text), F.length(text)) <= control)
 
 
 def page_kind(page_no: Column, images: Column, drawings: Column) -> Column:
-    """What a rendered page is taken for; null where it isn't worth rendering."""
-    return F.when(page_no <= 3, "page_image").when(images >= 4, "map").when(drawings >= 20, "table").when(images >= 1, "figure")
+    """What a rendered page is taken for."""
+    return F.when(page_no <= 3, "page_image").when(images >= 4, "map").when(drawings >= 20, "table").when(images >= 1, "figure").otherwise("page_image")
+
+
+def worth_rendering(quality: Column, images: Column, drawings: Column) -> Column:
+    """Whether a page has something to see, or no good text."""
+    return quality.isin("empty", "degraded") | (images > 0) | (drawings >= 20)
 
 
 def visual_score(blocks: Column, embedded: Column, drawings: Column) -> Column:
@@ -213,4 +245,4 @@ def job_priority(kind: Column, needs_vlm: Column, needs_ocr: Column, bonus: Colu
 
 def question(term: Column) -> Column:
     """A question about a term, in the language its letters suggest."""
-    return F.when(term.rlike("[가-힣]"), F.concat(term, F.lit("에 대해 설명해 주세요."))).otherwise(F.concat(F.lit("What does the document say about "), term, F.lit("?")))
+    return F.when(term.rlike("[가-힣]"), F.concat(F.lit("어디에서 "), term, F.lit(" 관련 항목을 찾을 수 있는가"))).otherwise(F.concat(F.lit("Where is "), term, F.lit(" discussed?")))

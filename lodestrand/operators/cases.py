@@ -8,58 +8,87 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import question, ratio
+from ..functions.text import meaningful_text, question, ratio, trim_query
 
-TERM = r"[A-Za-z][A-Za-z0-9_]{2,}|[0-9]+|[가-힣]{2,}|[一-龥]{2,}"
-STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "not", "but", "its", "can", "will", "und", "der", "die", "das", "les", "des", "est", "los", "las", "del", "que")
+TERM = r"[A-Za-z][\w./%+-]{2,}|[0-9]+(?:[.,][0-9]+)*[%A-Za-z가-힣㎡²³]*|[가-힣]{2,}|[一-鿿]{2,}"
+#: Words that name parts of a document, or say what any text says.
+STOP = tuple("page above about range table belong report figure belongs chapter defines example section summary overview includes contents document appendix reference introduction 개요 그림 목차 본문 부록 요약 자료 참고 보고서 페이지".split())
+MAX_CHARS = 120
+
+
+def term_keys(text: Column) -> Column:
+    """array<struct<term, key>> of a text's terms in order: punctuation off the ends; key is what terms are told apart by, empty for stop words, identifiers and numbers other than of four digits."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    terms = F.transform(found, lambda x: F.regexp_replace(x, r"^[.,;:!?/\\+-]+|[.,;:!?/\\+-]+$", ""))
+
+    def key(x: Column) -> Column:
+        k = F.lower(x)
+        hexa = k.rlike("^[0-9a-f]{2,}$") & k.rlike("[0-9]") & k.rlike("[a-f]")
+        long = (F.length(k) >= 12) & k.rlike("[0-9]")
+        number = k.rlike("^[0-9]+$") & (F.length(k) != 4)
+        return F.when((F.length(k) < 2) | k.isin(*STOP) | hexa | long | number, "").otherwise(k)
+
+    return F.filter(F.transform(terms, lambda x: F.struct(x.alias("term"), key(x).alias("key"))), lambda t: t["key"] != "")
 
 
 def salient_terms(text: Column) -> Column:
-    """Terms in order of their first place: no stop words, no hexadecimal or long identifiers, no numbers but years."""
-    terms = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda x: F.lower(x)))
-    hexa = lambda x: x.rlike("^[0-9a-f]{6,}$") & x.rlike("[0-9]")
-    ident = lambda x: (F.length(x) > 16) & x.rlike("[0-9]")
-    number = lambda x: x.rlike("^[0-9]+$") & (F.length(x) != 4)
-    return F.filter(terms, lambda x: ~x.isin(*STOP) & ~hexa(x) & ~ident(x) & ~number(x))
+    """The distinct keys of a text's terms, in order of their first place."""
+    return F.array_distinct(F.transform(term_keys(text), lambda t: t["key"]))
+
+
+def term_score(key: Column, df: Column, docs: Column) -> Column:
+    """Rare and long terms score high, numbers less."""
+    return (F.log((docs + 1) / F.greatest(df, F.lit(1))) + 1) * F.least(F.length(key), F.lit(16)) / 8.0 * F.when(key.rlike("^[.,]*[0-9][0-9.,]*$"), 0.75).otherwise(1.0)
 
 
 def scored_terms(docs: DataFrame) -> DataFrame:
-    """(item_id, term, pos, score): rare and long terms score high, numbers less. docs(item_id, text)."""
-    terms = docs.select("item_id", F.posexplode(salient_terms(F.col("text"))).alias("pos", "term"))
-    n = docs.agg(F.count("*").cast("double").alias("docs"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
-    score = (F.log((F.col("docs") + 1) / F.col("df")) + 1) * F.least(F.length("term"), F.lit(16)) / 8.0 * F.when(F.col("term").rlike("^[0-9]+$"), 0.75).otherwise(1.0)
-    return terms.join(df.select("term", F.round(score, 9).alias("score")), "term")
-
-
-def choose(terms: list[tuple[str, int, float]], n: int) -> list[str]:
-    """n terms by score, skipping those within one chosen or the other way round; if too few are left, these come by place."""
-    out: list[str] = []
-    for t, *_ in sorted(terms, key=lambda x: (-x[2], x[1], x[0])):
-        if len(out) < n and not any(t in o or o in t for o in out):
-            out.append(t)
-    for t, *_ in sorted(terms, key=lambda x: (x[1], x[0])):
-        if len(out) < n and t not in out:
-            out.append(t)
-    place = {t: p for t, p, _ in terms}
-    return sorted(out, key=lambda t: (place[t], t))
-
-
-def chosen_terms(scored: DataFrame, n: int) -> DataFrame:
-    """(item_id, terms): choose() over all terms of each item. The greedy choice depends on what was chosen before, so it is a UDF."""
-    lists = scored.groupBy("item_id").agg(F.collect_list(F.struct("term", "pos", "score")).alias("ts"))
+    """(item_id, term, key, pos, score) of every distinct term of every document. docs(item_id, text)."""
+    own = docs.select("item_id", meaningful_text(F.col("text")).alias("text"))
+    found = own.select("item_id", F.posexplode(term_keys(F.col("text"))).alias("pos", "t")).select("item_id", "pos", "t.term", "t.key")
+    terms = found.groupBy("item_id", "key").agg(F.min(F.struct("pos", "term")).alias("first")).select("item_id", "key", "first.pos", "first.term")
+    n = own.where("text <> ''").agg(F.count("*").cast("double").alias("docs"))
+    df = terms.groupBy("key").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    return terms.join(df.select("key", F.round(term_score(F.col("key"), F.col("df"), F.col("docs")), 9).alias("score")), "key").select("item_id", "term", "key", "pos", "score")
+
+
+def choose(terms: list[tuple[str, str, int, float]], most: int, least: int) -> list[tuple[str, float]]:
+    """(term, score) in order of place: up to `most` by score, skipping those whose key is within one chosen or the other way round; if fewer than `least` are left, more by place until there are `least`; none if there
+    aren't so many. terms: (term, key, pos, score)."""
+    chosen: dict[str, tuple[int, str, float]] = {}
+    for term, key, pos, score in sorted(terms, key=lambda x: (-x[3], x[2])):
+        if len(chosen) >= most:
+            break
+        if not any(key in o or o in key for o in chosen):
+            chosen[key] = (pos, term, score)
+    if len(chosen) < least:
+        for term, key, pos, score in sorted(terms, key=lambda x: x[2]):
+            if len(chosen) >= least:
+                break
+            chosen.setdefault(key, (pos, term, score))
+    return [(t, s) for _, t, s in sorted(chosen.values())] if len(chosen) >= least else []
+
+
+def chosen_terms(scored: DataFrame, most: int = 8, least: int = 3) -> DataFrame:
+    """(item_id, terms, score): choose() over all terms of each item, with the sum of their scores. The greedy choice depends on what was chosen before, so it is a UDF."""
+    lists = scored.groupBy("item_id").agg(F.collect_list(F.struct("term", "key", "pos", "score")).alias("ts"))  # of one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:  # one item's terms at a time become Python objects
-            terms = [choose(list(zip(*(x.to_pylist() for x in ts.values.flatten()))), n) for ts in b.column("ts")]
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(terms, pa.list_(pa.string()))], ["item_id", "terms"])
+            got = [choose(list(zip(*(x.to_pylist() for x in ts.values.flatten()))), most, least) for ts in b.column("ts")]
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([[t for t, _ in x] for x in got], pa.list_(pa.string())), pa.array([round(sum(s for _, s in x), 9) for x in got], pa.float64())], ["item_id", "terms", "score"])
+
+    return lists.mapInArrow(run, f"item_id {scored.schema['item_id'].dataType.simpleString()}, terms array<string>, score double")
+
 
-    return lists.mapInArrow(run, f"item_id {scored.schema['item_id'].dataType.simpleString()}, terms array<string>")
+def drafted(chosen: DataFrame, *, ask: bool = False, limit: int = MAX_CHARS) -> DataFrame:
+    """chosen with its query: the terms, or a question about them, cut at the last space within limit characters. Items without terms have none."""
+    terms = F.array_join("terms", " ")
+    return chosen.where(F.size("terms") > 0).withColumn("query", trim_query(question(terms) if ask else terms, limit))
 
 
 def page_cases(chosen: DataFrame) -> DataFrame:
     """(case_id, query, item_id): a question about the chosen terms of each item."""
-    return chosen.where(F.size("terms") > 0).select(F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("case_id"), question(F.array_join("terms", " ")).alias("query"), "item_id")
+    return drafted(chosen, ask=True).select(F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("case_id"), "query", "item_id")
 
 
 def first_per(cases: DataFrame, keys: list[Column], *order: str | Column) -> DataFrame:

@@ -1,17 +1,15 @@
-"""Chunks of a package: page level, hierarchical, visual; and the texts that are indexed for them."""
+"""Chunks of a package: page level and split; summaries of vector records."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import chunk_id, sha_id
 from ..functions.splitter import split_column
-from ..functions.text import clean_lines, squeeze_ws, text_quality, trim_ellipsis
+from ..functions.text import clean_lines, text_quality
 from .links import with_section
 
-STRATEGIES = ("page", "semantic", "multimodal", "object_aware", "hierarchical")
-
 
 def page_chunks(pages: DataFrame, sections: DataFrame | None = None) -> DataFrame:
     """One chunk a page: its cleaned text if that is good, else a placeholder that asks for OCR.
@@ -35,71 +33,6 @@ def split_chunks(chunks: DataFrame, size: int = 1600, overlap: int = 180, least:
     return p.select(F.when(one, F.col("chunk_id")).otherwise(sha_id(20, F.col("chunk_id"), F.lit("semantic"), F.col("p.idx"))).alias("chunk_id"), *rest, kind.alias("kind"), F.col("p.text").alias("text"), F.col("p.idx").alias("idx"), F.col("p.total").alias("total"), F.when(~one, F.col("chunk_id")).alias("parent_id"))
 
 
-def hierarchical(chunks: DataFrame, visual: DataFrame | None = None, limit: int = 1200) -> DataFrame:
-    """Parents, a chunk's trimmed text and what is seen on it, and their children, its pieces. (chunk_id, parent_id, role, kind, doc, page_start, page_end, text). visual(chunk_id, block)."""
-    own = chunks if visual is None else chunks.join(visual, "chunk_id", "left")
-    block = F.lit(None).cast("string") if visual is None else F.col("block")
-    pid = sha_id(20, F.col("chunk_id"), F.lit("parent"))
-    parents = own.select(pid.alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("parent").alias("role"), F.lit("page_summary").alias("kind"), "doc", "page_start", "page_end", F.concat_ws("\n\n", trim_ellipsis(F.col("text"), limit), block).alias("text"))
-    kids = split_chunks(chunks).select(sha_id(20, F.coalesce("parent_id", "chunk_id"), F.lit("child"), F.col("idx")).alias("chunk_id"), sha_id(20, F.coalesce("parent_id", "chunk_id"), F.lit("parent")).alias("parent_id"), F.lit("child").alias("role"), "kind", "doc", "page_start", "page_end", "text")
-    return parents.unionByName(kids)
-
-
-def visual_block(links: DataFrame, assets: DataFrame, limit: int = 700) -> DataFrame:
-    """(chunk_id, block): a line for each linked asset, by page and id, cut at limit characters. links(chunk_id, asset_id), assets(asset_id, page_no, kind, caption)."""
-    line = F.concat(F.lit("- "), F.col("kind"), F.lit(" "), F.col("asset_id"), F.lit(": "), squeeze_ws(F.coalesce("caption", F.lit(""))))
-    x = links.join(assets, "asset_id").groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.struct("page_no", "asset_id", line.alias("line")))).alias("ls"))
-    text = F.concat(F.lit("Visual context:\n"), F.array_join(F.transform("ls", lambda s: s["line"]), "\n"))
-    return x.select("chunk_id", F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, limit - 3)), F.lit("..."))).alias("block"))
-
-
-def asset_texts(parts: list[Column], caps: list[int | None]) -> Column:
-    """The distinct texts of an asset's parts, in order; an array part gives its first `cap` items. Equal but for case and blanks is equal."""
-    flat = []
-    for p, cap in zip(parts, caps):
-        items = F.array(p) if cap is None else F.slice(F.coalesce(p, F.array().cast("array<string>")), 1, cap)
-        flat.append(F.transform(items, lambda x: squeeze_ws(F.coalesce(x, F.lit("")))))
-    all_ = F.filter(F.concat(*flat), lambda x: x != "")
-    keys = F.transform(all_, lambda x: F.lower(x))
-    first = lambda i, x: F.array_position(keys, F.lower(x)) == i + 1
-    return F.filter(all_, lambda x, i: first(i, x))
-
-
-def asset_chunks(assets: DataFrame) -> DataFrame:
-    """A chunk for each asset that says something. assets(asset_id, doc, page_no, kind, texts array)."""
-    text = F.array_join("texts", "\n")
-    return assets.where(F.size("texts") > 0).select(chunk_id(F.col("doc"), F.col("page_no"), F.col("page_no"), F.concat(F.lit("visual_"), F.col("kind")), F.col("asset_id")).alias("chunk_id"), "doc", F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"), F.concat(F.lit("visual_"), F.col("kind")).alias("kind"), text.alias("text"), "asset_id")
-
-
-def object_rows(assets: DataFrame, cap: int = 32) -> DataFrame:
-    """The objects seen on each asset, at most cap of them (the order is the asset's), one for each lower-cased label and place.
-
-    assets(asset_id, objects array<struct<label, location, confidence>>).
-    """
-    x = assets.select("asset_id", F.posexplode("objects").alias("i", "o")).select("asset_id", "i", F.col("o.label").alias("label"), F.col("o.location").alias("location"), F.col("o.confidence").alias("confidence")).where("trim(label) <> ''")
-    same = Window.partitionBy("asset_id", F.lower(F.trim("label")), F.coalesce(F.lower(F.trim("location")), F.lit(""))).orderBy("i")
-    one = x.withColumn("n", F.row_number().over(same)).where("n = 1")
-    return one.withColumn("n", F.row_number().over(Window.partitionBy("asset_id").orderBy("i"))).where(F.col("n") <= cap).drop("n")
-
-
-def lexical_text(chunks: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
-    """(chunk_id, text): what the lexical index reads of a chunk, its own text and the distinct texts of its assets."""
-    more = links.join(assets.select("asset_id", F.explode("texts").alias("t")), "asset_id").groupBy("chunk_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    return chunks.join(more, "chunk_id", "left").select("chunk_id", F.concat_ws("\n", "text", F.array_join(F.filter(F.coalesce("ts", F.array().cast("array<string>")), lambda t: ~F.contains(F.lower("text"), F.lower(t))), "\n")).alias("text"))
-
-
-def families(pages: DataFrame, visual: DataFrame, pieces: DataFrame, levels: DataFrame) -> DataFrame:
-    """Every strategy's chunks in one table, by column strategy: each strategy is a union of chunk families."""
-    cols = ["chunk_id", "doc", "page_start", "page_end", "kind", "text"]
-    of = {"page": [pages], "semantic": [pieces], "multimodal": [pieces, visual], "object_aware": [pages, visual], "hierarchical": [levels, visual]}
-    out = None
-    for name, parts in of.items():
-        for p in parts:
-            q = p.select(F.lit(name).alias("strategy"), *cols)
-            out = q if out is None else out.unionByName(q)
-    return out
-
-
 def record_summary(records: DataFrame) -> DataFrame:
     """For each vector name: records, distinct targets, sizes. records(vector_name, target_id, vector)."""
     d = F.size("vector")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,18 +64,31 @@ def pairwise(metrics: DataFrame, run: str, k: int) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count("*").alias("cases"), F.sum((F.col("ka") > F.col("kb")).cast("int")).alias("wins"), F.sum((F.col("ka") == F.col("kb")).cast("int")).alias("ties"), delta("coverage"), delta("ndcg"), delta("rr"), delta("precision"), F.avg(F.col("ra") - F.col("rb")).alias("d_rank"))
 
 
-def bootstrap_interval(deltas: DataFrame, by: list[str], value: str, *, resamples: int = 1000, confidence: float = 0.95, seed: int = 13) -> DataFrame:
-    """(by..., mean, low, high): interval of the mean by resampling each group with a generator seeded for it. Groups are runs' cases, thousands of numbers at most."""
+def seed_of(*parts: str) -> int:
+    """A number made of names, the same everywhere: code points, each times its place from 1."""
+    return sum(i * ord(c) for i, c in enumerate("|".join(parts), 1))
+
+
+def resampled(values: list[float], seed: int, resamples: int = 1000, confidence: float = 0.95) -> tuple[float, float]:
+    """Interval of the mean: resamples of the values, in their order, by the standard library's generator."""
+    if len(values) == 1:
+        return values[0], values[0]
+    draw, n = random.Random(seed).randrange, len(values)
+    means = sorted(sum([values[draw(n)] for _ in range(n)]) / n for _ in range(max(1, resamples)))
+    tail = max(0.0, min(1.0, 1.0 - confidence)) / 2
+    return means[int(tail * (len(means) - 1))], means[int((1.0 - tail) * (len(means) - 1))]
+
+
+def bootstrap_interval(deltas: DataFrame, by: list[str], value: str, order: str, metric: str, *, resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
+    """(by..., mean, low, high): interval of each group's mean, seeded by the group's names and the metric's; values in the order of a column. A group is a pair of runs over one set of cases; drawing is sequential by definition, so one task has all of a pair's values, 8 bytes each."""
     names = ", ".join(f"{b} string" for b in by)
 
     def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy(float))
-        r = np.random.default_rng(seed)
-        means = np.sort([x[r.integers(0, len(x), len(x))].mean() for _ in range(resamples)])
-        tail = (1 - confidence) / 2
-        return pd.DataFrame([[*map(str, key), x.mean(), means[int(tail * (resamples - 1))], means[int((1 - tail) * (resamples - 1))]]], columns=[*by, "mean", "low", "high"])
+        x = pdf.sort_values(order)[value].astype(float).tolist()
+        low, high = resampled(x, seed_of(*map(str, key), metric), resamples, confidence)
+        return pd.DataFrame([[*map(str, key), sum(x) / len(x), low, high]], columns=[*by, "mean", "low", "high"])
 
-    return deltas.where(F.col(value).isNotNull()).groupBy(*by).applyInPandas(each, f"{names}, mean double, low double, high double")
+    return deltas.where(F.col(value).isNotNull()).select(*by, value, order).groupBy(*by).applyInPandas(each, f"{names}, mean double, low double, high double")
 
 
 def pareto(candidates: DataFrame, name: str, higher: tuple[str, ...] = HIGHER, lower: tuple[str, ...] = LOWER) -> DataFrame:

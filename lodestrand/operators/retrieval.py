@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import BROADCAST_BYTES, written
-from ..functions.ids import hash_slot
-from ..functions.text import graph_text, ratio, source_family, word_tokens
+from ..functions.text import fusion_family, graph_text, ratio, word_tokens
+from ..functions.vectors import nearest
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -27,58 +27,50 @@ def top_k(scored: DataFrame, k: int, source: str | Column, order: list[Column] |
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "rank", "score", named.alias("source"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row (n, avgdl, avg_idf) and the idf that every term has before the floor: (token, df, raw)."""
-    toks = chunks.select("item_id", word_tokens(F.col("text")).alias("t"))
-    sizes = toks.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = toks.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").cast("double").alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # sizes: one row
-    return idf
+def postings(chunks: DataFrame) -> DataFrame:
+    """(item_id, dl, token, tf): the lexical index, a written table; the corpus is read and cut into tokens once. Texts without a token have one row of token null, so that their length counts."""
+    toks = chunks.select("item_id", word_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    each = toks.select("item_id", F.size("t").alias("dl"), F.explode_outer("t").alias("token"))
+    return written(each.groupBy("item_id", "dl", "token").agg(F.count("token").alias("tf")))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """The idf that every term has before the floor, with the corpus's numbers: (token, df, raw, n, avgdl). index: postings()."""
+    sizes = index.groupBy("item_id", "dl").agg(F.lit(1).alias("one")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    df = index.where("token is not null").groupBy("token").agg(F.count("*").cast("double").alias("df"))
+    return df.crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # sizes: one row
+
+
+def bm25_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, item_id, score) where above 0: Okapi BM25 with an idf floor, plus the share of the query's terms that occur.
 
-    chunks(item_id, text), queries(query_id, text). Only the queries' tokens are joined to postings. An empty corpus has no hits.
+    index: postings(), queries(query_id, text). Only the queries' tokens are joined to postings. An empty corpus has no hits.
     """
-    idf = written(corpus_stats(chunks))
-    floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"), F.first("n").alias("n"), F.first("avgdl").alias("avgdl"))
+    idf = written(corpus_stats(index))
+    floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
     asked = queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
     terms = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    wanted = checked(asked.select("token").distinct())
-    weight = idf.select("token", "raw").join(wanted, "token").crossJoin(F.broadcast(floor)).select("token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")  # floor: one row
-    toks = chunks.select("item_id", word_tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    tf = toks.join(wanted, "token", "left_semi").groupBy("item_id", "token", "dl").agg(F.count("*").alias("tf"))
-    scored = tf.join(checked(asked.join(weight, "token")), "token")
+    weight = idf.join(checked(asked.select("token").distinct()), "token").crossJoin(F.broadcast(floor)).select("token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")  # floor: one row
     gain = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    raw = scored.groupBy("query_id", "item_id").agg(F.sum(gain).alias("raw"), F.count("*").alias("shared"))
+    scored = index.join(checked(written(asked.join(weight, "token"))), "token").select("query_id", "item_id", gain.alias("gain"))
+    raw = scored.groupBy("query_id", "item_id").agg(F.sum("gain").alias("raw"), F.count("*").alias("shared"))
     finite = F.when(F.isnan("raw") | (F.abs("raw") == float("inf")), 0.0).otherwise(F.greatest(F.col("raw"), F.lit(0.0)))
     return raw.join(checked(terms, 16), "query_id").select("query_id", "item_id", (finite + F.col("shared") / F.col("terms")).alias("score")).where("score > 0")
 
 
-def slot_counts(rows: DataFrame, key: str, dim: int = 384) -> DataFrame:
-    """(key, slot, v): the hashed vector of a text's space-separated tokens, of length 1, by slot."""
-    words = rows.select(key, F.explode(F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda x: x != "")).alias("w"))
-    counts = words.groupBy(key, "w").agg(F.count("*").alias("c")).groupBy(key, hash_slot(F.col("w"), dim).alias("slot")).agg(F.sum("c").cast("double").alias("c"))
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key)))
-    return counts.select(key, "slot", (F.col("c") / norm).alias("v"))
+def bm25_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return top_k(bm25_scores(index, queries), k, "bm25")
 
 
-def dense_scores(chunks: DataFrame, queries: DataFrame, dim: int = 384) -> DataFrame:
-    """(query_id, item_id, score) where the cosine of the hashed vectors is above 0: a sparse join on the slot."""
-    q = slot_counts(queries, "query_id", dim).withColumnRenamed("v", "qv")
-    c = slot_counts(chunks, "item_id", dim)
-    return c.join(checked(q), "slot").groupBy("query_id", "item_id").agg(F.sum(F.col("v") * F.col("qv")).alias("score")).where("score > 0")
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, dim: int = 384, source: str = "dense") -> DataFrame:
+    """The k chunks of largest cosine of hashed vectors for every query, where above 0: as hits."""
+    return nearest(chunks, queries, k, text=True, dim=dim).withColumn("source", F.lit(source))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, threshold: float | None = None) -> DataFrame:
-    """(query_id, item_id, score): cosine of dense vectors (item_id, vector) and (query_id, vector), above the threshold if one is given."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))), F.lit(1e-300)))
-    q = queries.select("query_id", unit(F.col("vector")).alias("q"))
-    c = vectors.select("item_id", unit(F.col("vector")).alias("c"))
-    dot = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    out = c.crossJoin(checked(q, 1024)).select("query_id", "item_id", dot.alias("score"))
-    return out if threshold is None else out.where(F.col("score") >= threshold)
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, source: str = "dense") -> DataFrame:
+    """The k vectors of largest cosine for every query, at or above the threshold if one is given: as hits. vectors(item_id, vector), queries(query_id, vector)."""
+    low = -2.0 if threshold is None else threshold - 1e-9
+    return nearest(vectors, queries, k, text=False, low=low).withColumn("source", F.lit(source))
 
 
 def graph_scores(triples: DataFrame, queries: DataFrame) -> DataFrame:
@@ -112,26 +104,29 @@ def related_terms(triples: DataFrame, queries: DataFrame, limit: int = 12) -> Da
 
 
 def expand_queries(queries: DataFrame, triples: DataFrame, limit: int = 12) -> DataFrame:
+    """queries(query_id, text) with their related terms appended."""
     terms = related_terms(triples, queries, limit).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ").alias("more"))
     return queries.join(terms, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
 
 
 def collapse(hits: DataFrame, parents: DataFrame) -> DataFrame:
-    """The best hit of each parent, with its evidence: hits on a child count for the parent if that is in the corpus. parents(child_id, parent_id)."""
+    """The best hit of each parent, with its evidence: hits on a child count for the parent. parents(child_id, parent_id): of parents in the corpus.
+
+    A hit keeps its rank, which may then be missing in between; evidence is the children, without the parent itself.
+    """
     at = hits.join(parents, F.col("item_id") == F.col("child_id"), "left").withColumn("canon", F.coalesce("parent_id", "item_id"))
-    w = Window.partitionBy("query_id", "source", "canon")
-    best = at.withColumn("rn", F.row_number().over(w.orderBy("rank", F.desc("score"), "item_id"))).withColumn("evidence", F.array_sort(F.collect_set("item_id").over(w))).where("rn = 1")
-    again = Window.partitionBy("query_id", "source").orderBy("rank", F.round("score", 9).desc(), "canon")
-    return best.select("query_id", F.col("canon").alias("item_id"), F.row_number().over(again).alias("rank"), "score", "source", "evidence")
+    best = F.min_by(F.struct("rank", "score"), F.struct("rank", (-F.col("score")).alias("s"), "item_id"))
+    out = at.groupBy("query_id", "source", "canon").agg(best.alias("b"), F.array_sort(F.collect_set(F.when(F.col("parent_id").isNotNull(), F.col("item_id")))).alias("evidence"))
+    return out.select("query_id", F.col("canon").alias("item_id"), "b.rank", "b.score", "source", "evidence")
 
 
 def weighted(hits: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """hits with their weight: of the source itself, else of its family, else 1. What weighs nothing goes."""
+    """hits with their weight: of the source itself, else of its name up to the first colon, else 1. What weighs nothing goes."""
     if weights is None:
         return hits.withColumn("w", F.lit(1.0))
     own = weights.select(F.col("source").alias("s1"), F.col("weight").alias("w1"))
     fam = weights.select(F.col("source").alias("s2"), F.col("weight").alias("w2"))
-    return hits.join(F.broadcast(own), F.col("source") == F.col("s1"), "left").join(F.broadcast(fam), source_family(F.col("source")) == F.col("s2"), "left").withColumn("w", F.coalesce("w1", "w2", F.lit(1.0))).where("w > 0").drop("s1", "w1", "s2", "w2")  # a row for each source
+    return hits.join(F.broadcast(own), F.col("source") == F.col("s1"), "left").join(F.broadcast(fam), fusion_family(F.col("source")) == F.col("s2"), "left").withColumn("w", F.coalesce("w1", "w2", F.lit(1.0))).where("w > 0").drop("s1", "w1", "s2", "w2")  # a row for each source
 
 
 def fuse(hits: DataFrame, k: int, weights: DataFrame | None = None, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -152,18 +147,70 @@ def lexical_rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: i
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "rank", "score", F.array_append("sources", F.lit("rerank:lexical")).alias("sources"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, *, k: int = 5, candidates: int = 20, triples: DataFrame | None = None, triple_chunks: DataFrame | None = None, weights: DataFrame | None = None, parents: DataFrame | None = None, rerank: bool = False) -> DataFrame:
-    """Dense + BM25 (+ graph) -> collapse -> fusion (-> rerank). With triples the first two see the widened query; graph and rerank the one asked."""
-    deep = max(3 * max(k, candidates if rerank else k), 20)
-    wide = expand_queries(queries, triples) if triples is not None else queries
-    hits = top_k(dense_scores(chunks, wide), deep, "dense").unionByName(top_k(bm25_scores(chunks, wide), deep, "bm25"))
-    if triples is not None and triple_chunks is not None:
-        best = graph_scores(triples, queries).join(triple_chunks, "triple_id").groupBy("query_id", F.col("chunk_id").alias("item_id")).agg(F.max("score").alias("score"))
-        hits = hits.unionByName(top_k(best, deep, "graph"))
-    if parents is not None:
-        hits = collapse(hits, parents).drop("evidence")
-    fused = fuse(hits, candidates if rerank else k, weights)
-    return lexical_rerank(fused, chunks, queries, k) if rerank else fused
+def graph_topk(triples: DataFrame, triple_chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k chunks whose triples fit each query best, a chunk having its best triple's score: as hits. triple_chunks(triple_id, chunk_id)."""
+    best = graph_scores(triples, queries).join(triple_chunks, "triple_id").groupBy("query_id", F.col("chunk_id").alias("item_id")).agg(F.max("score").alias("score"))
+    return top_k(best, k, "graph")
+
+
+def hybrid_search(
+    chunks: DataFrame, queries: DataFrame, *, k: int = 10, triples: DataFrame | None = None, triple_chunks: DataFrame | None = None, expand: bool = False, dense: bool = True, bm25: bool = True, graph: bool | None = None,
+    parents: DataFrame | None = None, weights: DataFrame | None = None, rerank: bool = False, depth: int | None = None, index: DataFrame | None = None,
+) -> DataFrame:
+    """Hits of every query: (query_id, item_id, rank, score, sources, evidence).
+
+    expand widens the query that dense vectors and BM25 see by related terms of the triples; the graph and the reranker see the one asked. graph defaults to expand. Each source gives three times as many candidates as are asked for, 20 at
+    least; with parents they count for these; then they are fused, by weights if given. With rerank the `depth` best (k if not given) are put in order of lexical overlap. index: postings() of the chunks, made here if not given.
+    chunks(item_id, text), queries(query_id, text), triples(triple_id, subject, predicate, object), triple_chunks(triple_id, chunk_id), parents(child_id, parent_id).
+    """
+    graph = expand if graph is None else graph
+    pool = max(depth or k, k)
+    deep = max(3 * pool, 20)
+    wide = written(expand_queries(queries, triples)) if expand and triples is not None else queries
+    found = []
+    if dense:
+        found.append(dense_topk(chunks, wide, deep))
+    if bm25:
+        found.append(bm25_topk(postings(chunks) if index is None else index, wide, deep))
+    if graph and triples is not None and triple_chunks is not None:
+        found.append(graph_topk(triples, triple_chunks, queries, deep))
+    if not found:
+        raise ValueError("a search needs a source")
+    hits = found[0]
+    for x in found[1:]:
+        hits = hits.unionByName(x)
+    none = F.array().cast(f"array<{chunks.schema['item_id'].dataType.simpleString()}>")
+    hits = written(collapse(hits, parents) if parents is not None else hits.withColumn("evidence", none))
+    told = hits.groupBy("query_id", "item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    fused = fuse(hits, pool, weights).join(chunks.select("item_id"), "item_id", "left_semi")
+    out = lexical_rerank(fused, chunks, queries, k) if rerank else fused.where(F.col("rank") <= k)
+    return out.join(told, ["query_id", "item_id"], "left")
+
+
+def multi_vector_search(records: DataFrame, queries: DataFrame, chunks: DataFrame, *, k: int = 10, condition: Column | None = None, asset_chunks: DataFrame | None = None, more: DataFrame | None = None, parents: DataFrame | None = None, weights: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """Hits of several vector spaces and other sources in one ranking: (query_id, item_id, rank, score, sources, evidence).
+
+    records(vector_name, target_id, item_id, asset_id, vector, and what condition reads), queries(query_id, vector_name, vector): each space is searched by its own queries among the records that fulfil the condition, and is a source
+    named vector:<name>. A record of an asset counts for the chunk in asset_chunks(asset_id, chunk_id), if there is one. more: hits of BM25 or the graph, of which those in chunks(item_id) count. Several hits of one
+    item in a source add up, unless parents collapse them.
+    """
+    pool = max(depth or k, k)
+    deep = max(3 * pool, 20)
+    names = sorted(r[0] for r in queries.select("vector_name").distinct().collect())  # vector spaces are few
+    hits = more.join(chunks.select("item_id"), "item_id", "left_semi").select("query_id", "item_id", "rank", "score", "source") if more is not None else None
+    for name in names:
+        own = records.where(F.col("vector_name") == name)
+        own = own if condition is None else own.where(condition)
+        got = nearest(own.select(F.col("target_id").alias("item_id"), "vector"), queries.where(F.col("vector_name") == name).select("query_id", "vector"), deep, text=False, low=-2.0)
+        at = got.withColumnRenamed("item_id", "target_id").join(own.select("target_id", F.col("item_id").alias("own"), "asset_id"), "target_id")
+        if asset_chunks is not None:
+            at = at.join(asset_chunks.select("asset_id", "chunk_id"), "asset_id", "left").withColumn("own", F.coalesce("chunk_id", "own"))
+        part = at.select("query_id", F.col("own").alias("item_id"), "rank", "score", F.lit(f"vector:{name}").alias("source"))
+        hits = part if hits is None else hits.unionByName(part)
+    none = F.array().cast(f"array<{hits.schema['item_id'].dataType.simpleString()}>")
+    hits = written(collapse(hits, parents) if parents is not None else hits.withColumn("evidence", none))
+    told = hits.groupBy("query_id", "item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    return fuse(hits, pool, weights).where(F.col("rank") <= k).join(told, ["query_id", "item_id"], "left")
 
 
 def route_queries(queries: DataFrame, routes: DataFrame) -> DataFrame:

@@ -57,66 +57,68 @@ def job_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 
 
-def _balanced(text: str) -> str | None:
-    """From the first brace or bracket to where it closes; to the end if it doesn't."""
-    start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
-    if start < 0:
-        return None
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            depth += 1
-        elif c in "}]":
-            depth -= 1
-            if not depth:
-                return text[start : i + 1]
-    return text[start:]
-
-
-def _repaired(text: str) -> object | None:
-    """A cut-off object: its open string, list and object are closed, after what is whole."""
-    for end in range(len(text), max(0, len(text) - 4000), -1):
-        if end < len(text) and text[end] not in ",]}\"":
+_STRING = r'"((?:\\.|[^"\\])*)"'
+#: Fields that a broken answer is searched for: strings, and lists with how many of their strings count.
+_FIELDS, _LISTS = ("page_type", "title", "summary"), {"key_points": 5, "visual_elements": 6, "entities": 8}
+_FIELD_AT = {k: re.compile(rf'"{k}"\s*:\s*{_STRING}', re.DOTALL) for k in _FIELDS}
+_LIST_AT = {k: re.compile(rf'"{k}"\s*:\s*\[') for k in _LISTS}
+#: What a bracketed list may go on with: a whole string, another bracket, anything else.
+_INSIDE = re.compile(rf'{_STRING}|[\[\]]|[^"\[\]]+|"', re.DOTALL)
+
+
+def _candidates(text: str) -> Iterator[str]:
+    """What may be the answer's JSON: the first fence, the whole, what lies between the first brace and the last, the same with brackets."""
+    fence = _FENCE.search(text)
+    if fence:
+        yield fence[1].strip()
+    if text[:1] in ("{", "["):
+        yield text
+    for first, last in ("{}", "[]"):
+        i, j = text.find(first), text.rfind(last)
+        if 0 <= i < j:
+            yield text[i : j + 1]
+
+
+def _unquoted(raw: str) -> str:
+    try:
+        return " ".join(json.loads(f'"{raw}"', strict=False).split())
+    except ValueError:
+        return ""
+
+
+def _repaired(text: str) -> dict[str, object]:
+    """The known fields that a broken object has whole: each is looked for once, so the time is linear in the text."""
+    out: dict[str, object] = {}
+    for k, at in _FIELD_AT.items():
+        if (m := at.search(text)) and (v := _unquoted(m[1])):
+            out[k] = v
+    for k, at in _LIST_AT.items():
+        if not (m := at.search(text)):
             continue
-        head, stack, quoted, skip = text[:end].rstrip().rstrip(",:"), [], False, False
-        for c in head:
-            if skip:
-                skip = False
-            elif quoted:
-                skip, quoted = c == "\\", c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack:
-                stack.pop()
-        try:
-            return json.loads(head + ('"' if quoted else "") + "".join(reversed(stack)))
-        except ValueError:
-            pass
-    return None
+        depth, found = 1, {}
+        for x in _INSIDE.finditer(text, m.end()):
+            depth += (x[0] == "[") - (x[0] == "]")
+            if not depth:
+                break
+            if x[1] is not None and (v := _unquoted(x[1])):
+                found.setdefault(v.casefold(), v)
+        if found:
+            out[k] = list(found.values())[: _LISTS[k]]
+    return out if any(k in out for k in ("title", "summary", *_LISTS)) else {}
 
 
 def parse_output(text: str | None) -> tuple[str, str | None]:
-    """(status, JSON) of a model's answer: what a fence holds, the whole, or what lies between braces; else a repaired object; else the raw text."""
+    """(status, JSON) of a model's answer: the first of _candidates() that is JSON; else what is whole of a broken object's known fields; else the raw text."""
     t = (text or "").strip()
-    for candidate in (*(m.strip() for m in _FENCE.findall(t)), t, _balanced(t)):
-        if candidate:
-            try:
-                v = json.loads(candidate)
-            except ValueError:
-                continue
-            return "json_object" if isinstance(v, dict) else "json_list" if isinstance(v, list) else "json_scalar", json.dumps(v, ensure_ascii=False, sort_keys=True)
-    b = _balanced(t)
-    v = _repaired(b) if b and b[0] == "{" else None
-    return ("json_repaired", json.dumps(v, ensure_ascii=False, sort_keys=True)) if isinstance(v, dict) and v else ("raw_text", None)
+    dump = lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True)
+    for candidate in _candidates(t):
+        try:
+            v = json.loads(candidate)
+        except (ValueError, RecursionError):
+            continue
+        return "json_object" if isinstance(v, dict) else "json_list" if isinstance(v, list) else "json_scalar", dump(v)
+    v = _repaired(t) if "{" in t else {}
+    return ("json_repaired", dump(v)) if v else ("raw_text", None)
 
 
 def parsed(text: Column) -> Column:

@@ -14,7 +14,7 @@ from ..operators import links as L
 
 from ..operators import retrieval as R
 from ..operators import visual as V
-from ..operators.chunks import object_rows, record_summary
+from ..operators.chunks import record_summary
 from .corpus import ASKED, PACKAGE, asked, assets, chunks, corpus, links, pages, table
 from .metric_queries import _CASES, targets
 from .registry import query
@@ -57,28 +57,35 @@ def b23_bbox_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.bbox_region(F.array(x0, y0, x0 + (F.col("page_id") % 4) / 8.0, y0 + 0.3)).alias("region"))
 
 
-@query("""WITH r AS (SELECT n_regionkey, list([CAST(n_nationkey AS VARCHAR), n_name || '|x', CASE WHEN n_nationkey % 2 = 0 THEN '  two   words ' ELSE NULL END] ORDER BY n_nationkey) AS c FROM nation GROUP BY n_regionkey),
-    t AS (SELECT n_regionkey, list_transform(c, lambda r: '| ' || array_to_string(list_transform(r, lambda x: replace(trim(regexp_replace(coalesce(x, ''), '\\s+', ' ', 'g')), '|', '\\|')), ' | ') || ' |') AS ls FROM r)
-    SELECT n_regionkey, array_to_string(list_concat([ls[1], '| --- | --- | --- |'], ls[2:]), chr(10)) AS markdown, TRUE AS useful FROM t""".replace("TRUE AS useful", "CAST(list_sum(list_transform(range(1, 6), lambda i: 1)) > 0 AS BOOLEAN) AS useful"))
+@query(r"""WITH x AS (SELECT n_regionkey, n_nationkey, n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) AS one, n_name FROM nation),
+    r AS (SELECT n_regionkey, list([CASE WHEN n_regionkey <> 3 OR one THEN CAST(n_nationkey AS VARCHAR) END, CASE WHEN n_regionkey NOT IN (2, 3) OR one AND n_regionkey = 3 THEN n_name || '|x' END, ' ', CASE WHEN n_nationkey % 2 = 0 AND n_regionkey = 0 THEN '  two   words ' END] ORDER BY n_nationkey) AS c FROM x GROUP BY n_regionkey),
+    t AS (SELECT n_regionkey, list_filter(list_transform(c, lambda r: list_transform(r, lambda x: trim(regexp_replace(coalesce(x, ''), '\s+', ' ', 'g')))), lambda r: len(list_filter(r, lambda x: x <> '')) > 0) AS w FROM r),
+    k AS (SELECT n_regionkey, w, list_filter([1, 2, 3, 4], lambda i: len(list_filter(w, lambda r: r[i] <> '')) > 0) AS k FROM t), m AS (SELECT n_regionkey, list_transform(w, lambda r: list_transform(k, lambda i: r[i])) AS g FROM k),
+    ls AS (SELECT n_regionkey, g, list_transform(g, lambda r: '| ' || array_to_string(list_transform(r, lambda c: replace(c, '|', '\|')), ' | ') || ' |') AS ls FROM m)
+    SELECT n_regionkey, array_to_string(list_concat([ls[1], '| ' || array_to_string(list_transform(g[1], lambda c: '---'), ' | ') || ' |'], ls[2:]), chr(10)) AS markdown,
+           len(g) >= 2 AND len(g[1]) >= 2 AND len(list_filter(flatten(g), lambda c: c <> '')) >= 4 AS useful FROM ls""")
 def b28_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nations of each region as a table."""
-    row = F.array(F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit("|x")), F.when(F.col("n_nationkey") % 2 == 0, "  two   words "))
-    c = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]).alias("c"))
+    """The nations of each region as a table, some with a column or all rows but one empty."""
+    one = F.col("n_nationkey") == F.min("n_nationkey").over(Window.partitionBy("n_regionkey"))
+    k = F.col("n_regionkey")
+    n = table(spark, sf_dir, "nation").withColumn("one", one)
+    row = F.array(F.when((k != 3) | F.col("one"), F.col("n_nationkey").cast("string")), F.when(~k.isin(2, 3) | (F.col("one") & (k == 3)), F.concat("n_name", F.lit("|x"))), F.lit(" "), F.when((F.col("n_nationkey") % 2 == 0) & (k == 0), "  two   words "))
+    c = n.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]).alias("c")).select("n_regionkey", text.table_cells(F.col("c")).alias("c"))
     return c.select("n_regionkey", text.table_markdown(F.col("c")).alias("markdown"), text.table_useful(F.col("c")).alias("useful"))
 
 
-_VISUAL = "v AS (SELECT page_id, page_id % 40 + 1 AS page_no, page_id % 10 AS images, page_id % 33 AS drawings, page_id % 3 AS blocks, CASE WHEN page_id % 6 = 0 THEN 'empty' ELSE 'good' END AS quality FROM pages), vs AS (SELECT *, 5 * blocks + 3 * images + drawings AS score, CASE WHEN page_no <= 3 THEN 'page_image' WHEN images >= 4 THEN 'map' WHEN drawings >= 20 THEN 'table' WHEN images >= 1 THEN 'figure' END AS kind FROM v)"
+_VISUAL = "v AS (SELECT page_id, page_id % 40 + 1 AS page_no, page_id % 10 AS images, page_id % 33 AS drawings, page_id % 3 AS blocks, CASE WHEN page_id % 6 = 0 THEN 'empty' ELSE 'good' END AS quality FROM pages), vs AS (SELECT *, 5 * blocks + 3 * images + drawings AS score, CASE WHEN page_no <= 3 THEN 'page_image' WHEN images >= 4 THEN 'map' WHEN drawings >= 20 THEN 'table' WHEN images >= 1 THEN 'figure' ELSE 'page_image' END AS kind, quality = 'empty' OR images > 0 OR drawings >= 20 AS render FROM v)"
 
 
 def _visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("page_id")
     v = table(spark, sf_dir, "pages").select(p, (p % 40 + 1).alias("page_no"), (p % 10).alias("images"), (p % 33).alias("drawings"), (p % 3).alias("blocks"), F.when(p % 6 == 0, "empty").otherwise("good").alias("quality"))
-    return v.withColumns({"score": text.visual_score(F.col("blocks"), F.col("images"), F.col("drawings")), "kind": text.page_kind(F.col("page_no"), F.col("images"), F.col("drawings"))})
+    return v.withColumns({"score": text.visual_score(F.col("blocks"), F.col("images"), F.col("drawings")), "kind": text.page_kind(F.col("page_no"), F.col("images"), F.col("drawings")), "render": text.worth_rendering(F.col("quality"), F.col("images"), F.col("drawings"))})
 
 
-@query(f"WITH {_VISUAL} SELECT page_id, kind, CAST(score AS BIGINT) AS score, concat_ws(',', CASE WHEN images >= 8 THEN 'many_images' END, CASE WHEN drawings >= 30 THEN 'many_drawings' END, CASE WHEN quality = 'empty' AND score >= 20 THEN 'empty_visual_page' END) AS reasons FROM vs")
+@query(f"WITH {_VISUAL} SELECT page_id, kind, render, CAST(score AS BIGINT) AS score, concat_ws(',', CASE WHEN images >= 8 THEN 'many_images' END, CASE WHEN drawings >= 30 THEN 'many_drawings' END, CASE WHEN quality = 'empty' AND score >= 20 THEN 'empty_visual_page' END) AS reasons FROM vs")
 def b31_visual_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _visual(spark, sf_dir).select("page_id", "kind", "score", F.array_join(text.tiling_reasons(F.col("images"), F.col("drawings"), F.col("quality"), F.col("score")), ",").alias("reasons"))
+    return _visual(spark, sf_dir).select("page_id", "kind", "render", "score", F.array_join(text.tiling_reasons(F.col("images"), F.col("drawings"), F.col("quality"), F.col("score")), ",").alias("reasons"))
 
 
 @query(f"WITH {_VISUAL} SELECT page_id, score FROM vs ORDER BY score DESC, page_id LIMIT 20")
@@ -94,11 +101,11 @@ def b32_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JOBS = f"""{_VISUAL}, jb AS (SELECT page_id, page_no, CASE kind WHEN 'map' THEN 1000 WHEN 'table' THEN 900 WHEN 'figure' THEN 800 WHEN 'page_image' THEN 650 ELSE 500 END + CASE WHEN images >= 5 THEN 200 ELSE 0 END + CASE WHEN quality = 'empty' THEN 150 ELSE 0 END
-    + least(blocks, 5) * 40 + least(images, 5) * 40 + least(drawings, 20) * 5 + CASE WHEN page_id % 2 = 0 THEN 80 ELSE 0 END + CASE WHEN page_id % 4 <> 0 THEN 20 ELSE 0 END AS priority FROM vs WHERE kind IS NOT NULL)"""
+    + least(blocks, 5) * 40 + least(images, 5) * 40 + least(drawings, 20) * 5 + CASE WHEN page_id % 2 = 0 THEN 80 ELSE 0 END + CASE WHEN page_id % 4 <> 0 THEN 20 ELSE 0 END AS priority FROM vs WHERE render)"""
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _visual(spark, sf_dir).where("kind is not null")
+    v = _visual(spark, sf_dir).where("render")
     empty = F.col("quality") == "empty"
     p = text.job_priority(F.col("kind"), F.col("images") >= 5, empty, text.complexity_bonus(F.col("blocks"), F.col("images"), F.col("drawings")), F.col("page_id") % 2 == 0, empty, F.col("page_id") % 4 != 0)
     return v.select("page_id", "page_no", p.cast("long").alias("priority"), (F.col("page_id") % 2).cast("int").alias("tile"), F.concat(F.lit("a"), F.col("page_id").cast("string")).alias("asset_id"))
@@ -130,20 +137,23 @@ def e23_run_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.withColumn("b", F.when(F.col("user_id") % 3 != 0, F.col("b0"))).select("user_id", F.round(V.run_score({"a": 0.5, "b": 0.3, "c": 0.2}), 6).alias("score"))
 
 
-@query("SELECT user_id, CASE WHEN b IS NULL THEN 'first' WHEN a IS NULL THEN 'second' ELSE 'both' END AS side FROM (SELECT coalesce(a, b) AS user_id, a, b FROM (SELECT DISTINCT user_id AS a FROM events WHERE event_id % 50 = 0) FULL JOIN (SELECT DISTINCT user_id AS b FROM events WHERE event_id % 50 = 7) ON a = b)")
+@query("SELECT user_id, CASE WHEN b IS NULL THEN 'first' WHEN a IS NULL THEN 'second' ELSE 'both' END AS side FROM (SELECT coalesce(a, b) AS user_id, a, b FROM (SELECT DISTINCT user_id AS a FROM events WHERE event_type IN ('click', 'error')) FULL JOIN (SELECT DISTINCT user_id AS b FROM events WHERE event_type NOT IN ('click', 'error')) ON a = b)")
 def d25_job_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return V.job_sets(e.where("event_id % 50 = 0"), e.where("event_id % 50 = 7"), "user_id")
+    first = F.col("event_type").isin("click", "error")
+    return V.job_sets(e.where(first), e.where(~first), "user_id")
 
 
-@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'json_object' WHEN 1 THEN 'json_list' WHEN 2 THEN 'json_repaired' ELSE 'raw_text' END AS status, CASE page_id % 4 WHEN 0 THEN url WHEN 2 THEN url END AS label FROM pages")
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'json_object' WHEN 1 THEN 'json_list' WHEN 2 THEN 'json_repaired' WHEN 3 THEN 'raw_text' WHEN 4 THEN 'json_repaired' ELSE 'raw_text' END AS status,
+    CASE WHEN page_id % 6 IN (0, 2, 4) THEN url END AS title, CASE page_id % 6 WHEN 4 THEN 'a,b' END AS entities FROM pages""")
 def b27_parse_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers as a model may give them: in a fence, as a list, cut short, as plain text."""
-    o = F.to_json(F.struct(F.col("url").alias("label"), F.array(F.lit(1), F.lit(2)).alias("n")))
-    k = F.col("page_id") % 4
-    answer = F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n"), o, F.lit("\n```\nDone."))).when(k == 1, F.lit("[1, 2]")).when(k == 2, F.concat(F.lit("Result: "), F.left(o, F.length(o) - 3))).otherwise(F.lit("no structure here"))
+    """Answers as a model may give them: in a fence, as a list, cut short after much else, as plain text, cut within a list, an object without a known field."""
+    o = F.to_json(F.struct(F.col("url").alias("title"), F.array(F.lit(1), F.lit(2)).alias("n")))
+    k, long = F.col("page_id") % 6, F.repeat(F.lit("filler "), 2000)
+    cut = F.concat(F.left(o, F.length(o) - 7), F.lit(',"entities": ["a", "b", "A", "c'))
+    answer = F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n"), o, F.lit("\n```\nDone."))).when(k == 1, F.lit("[1, 2]")).when(k == 2, F.concat(F.lit("Result: "), F.left(o, F.length(o) - 3), F.lit(',"more": "'), long)).when(k == 3, F.lit("no structure here")).when(k == 4, cut).otherwise(F.lit('{"label": "x", "n": [1'))
     p = table(spark, sf_dir, "pages").select("page_id", V.parsed(answer).alias("p"))
-    return p.select("page_id", "p.status", F.get_json_object("p.body", "$.label").alias("label"))
+    return p.select("page_id", "p.status", F.get_json_object("p.body", "$.title").alias("title"), F.array_join(F.from_json(F.get_json_object("p.body", "$.entities"), "array<string>"), ",").alias("entities"))
 
 
 @query("""SELECT event_id, event_type AS label, CASE WHEN user_id % 2 = 0 THEN 'top' END AS location, CASE event_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.85 WHEN 2 THEN NULL ELSE NULL END AS confidence, event_id % 3 = 0 AS has_box FROM events""".replace("THEN 0.5 ", "THEN CAST(0.5 AS DOUBLE) "))
@@ -157,15 +167,6 @@ def b22_object_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("event_id", "o.label", "o.location", "o.confidence", F.col("o.box").isNotNull().alias("has_box"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS asset_id, (l_linenumber, l_partkey, l_suppkey) AS i, l_returnflag AS label, CASE WHEN l_linestatus = 'O' THEN 'top' END AS location FROM lineitem), u AS (SELECT *, row_number() OVER (PARTITION BY asset_id, lower(label), coalesce(location, '') ORDER BY i) AS r FROM o),
-    t AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY i) AS n FROM u WHERE r = 1) SELECT asset_id, label, location FROM t WHERE n <= 2""")
-def k07_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's lines as the objects seen on an asset; at most two are kept."""
-    o = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_returnflag").alias("label"), F.when(F.col("l_linestatus") == "O", "top").alias("location"), F.lit(None).cast("double").alias("confidence"))
-    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("asset_id")).agg(F.array_sort(F.collect_list(o)).alias("objects"))
-    return object_rows(a, 2).select("asset_id", "label", "location")
-
-
 @query(f"""WITH {PACKAGE}, w AS (SELECT chunk_id, text, caption AS part FROM lk JOIN ast USING (asset_id) JOIN ch USING (chunk_id)) SELECT chunk_id, md5(CASE WHEN part IS NULL OR contains(lower(text), lower(part)) THEN text ELSE text || chr(10) || part END) AS text FROM (SELECT ch.chunk_id, ch.text, part FROM ch LEFT JOIN w ON ch.chunk_id = w.chunk_id)""")
 def k15_text_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = links(spark, sf_dir).join(assets(spark, sf_dir).select("asset_id", "caption"), "asset_id").select("chunk_id", F.lit(0).alias("ord"), F.col("caption").alias("part"))
@@ -215,24 +216,24 @@ def a18_schema_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e11_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of each kind of target."""
     kind = F.element_at(F.array(F.lit("page"), F.lit("chunk"), F.lit("asset")), (F.col("item_id") % 3 + 1).cast("int"))
-    h = R.top_k(R.bm25_scores(corpus(spark, sf_dir), asked(spark, sf_dir)), 10, "bm25").select("query_id", "item_id", "rank")
+    h = R.bm25_topk(R.postings(corpus(spark, sf_dir)), asked(spark, sf_dir), 10).select("query_id", "item_id", "rank")
     t = targets(spark, sf_dir).where("not excluded").join(h, ["query_id", "item_id"], "left")
     return t.groupBy(kind.alias("kind")).agg(F.count("*").alias("targets"), F.round(F.avg(F.when(F.col("rank").isNull(), 0.0).otherwise(1.0)), 6).alias("coverage"))
 
 
-_CONTEXT = """pl AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS item_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), ht AS (SELECT conv_id % 20 AS query_id, item_id, place, conv_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS rank FROM pl WHERE turn % 3 = 1),
+_CONTEXT = """pl AS (SELECT conv_id, turn, text, conv_id * 1000 + turn AS item_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations), ht AS (SELECT conv_id % 20 AS query_id, item_id, place, conv_id, row_number() OVER (PARTITION BY conv_id % 20 ORDER BY conv_id, turn) AS rank FROM pl),
   al AS (SELECT query_id, item_id, 'hit' AS role, rank, 0 AS step FROM ht UNION ALL SELECT query_id, pl.item_id, 'neighbour', rank, abs(pl.place - ht.place) * 2 + CASE WHEN pl.place > ht.place THEN 1 ELSE 0 END FROM ht JOIN pl ON ht.conv_id = pl.conv_id AND abs(pl.place - ht.place) = 1),
   on1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY CASE role WHEN 'hit' THEN 0 ELSE 1 END, rank, step) AS n FROM al),
   bd AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, step, item_id) AS place, item_id, role, rank FROM on1 WHERE n = 1),
-  bt AS (SELECT bd.*, CASE WHEN length(trim(text)) <= 200 THEN trim(text) ELSE rtrim(substr(trim(text), 1, 197)) || '...' END AS text FROM bd JOIN pl USING (item_id))"""
+  bt AS (SELECT bd.*, CASE WHEN length(trim(text)) <= 1200 THEN trim(text) ELSE rtrim(substr(trim(text), 1, 1197)) || '...' END AS text FROM bd JOIN pl USING (item_id))"""
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), "turn", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"))
     c = c.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("turn")))
-    h = c.where("turn % 3 = 1").withColumn("query_id", F.col("doc") % 20)
+    h = c.withColumn("query_id", F.col("doc") % 20)
     h = h.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc", "turn"))).select("query_id", "item_id", "rank")
-    return X.bundle(h, c.select("item_id", "doc", "place", "text"), reach=1, limit=200)
+    return X.bundle(h, c.select("item_id", "doc", "place", "text"), reach=1)
 
 
 @query(f"WITH {_CONTEXT} SELECT query_id, CAST(place AS INTEGER) AS place, item_id, role, CAST(rank AS INTEGER) AS rank, text FROM bt")
@@ -258,51 +259,66 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
-_SALIENT = f"list_filter(list_distinct_in_order, lambda x: x NOT IN ({_STOP}) AND NOT (regexp_matches(x, '^[0-9a-f]{{6,}}$') AND regexp_matches(x, '[0-9]')) AND NOT (length(x) > 16 AND regexp_matches(x, '[0-9]')) AND NOT (regexp_matches(x, '^[0-9]+$') AND length(x) <> 4))"
-_TERMS = f"""tw AS (SELECT item_id, list_transform(regexp_extract_all(text, '{K.TERM}'), lambda x: lower(x)) AS w FROM benchmark), td AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_in_order FROM tw),
-  tf1 AS (SELECT item_id, {_SALIENT} AS ts FROM td), te AS (SELECT item_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM tf1),
-  td2 AS (SELECT term, round((ln(((SELECT count(*) FROM benchmark) + 1.0) / count(*)) + 1) * least(length(term), 16) / 8.0 * CASE WHEN regexp_matches(term, '^[0-9]+$') THEN 0.75 ELSE 1.0 END, 9) AS score FROM te GROUP BY term)"""
+_MEANT = r"trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(replace({}, chr(13) || chr(10), chr(10)), chr(10)), lambda x: NOT contains(x, 'OCR/VLM processing required') AND NOT contains(x, 'Full page render for page')), ' '), '[|#*_`>\[\]()]', ' ', 'g'), '\s+', ' ', 'g'))"
+_TERMS = r"""tw AS (SELECT item_id, list_transform(regexp_extract_all({meant}, '[A-Za-z][A-Za-z0-9_./%+-]{{2,}}|[0-9]+(?:[.,][0-9]+)*(?:[%A-Za-z가-힣㎡²³]*)?|[가-힣]{{2,}}|[一-鿿]{{2,}}'), lambda x: regexp_replace(x, '^[.,;:!?/\\+-]+|[.,;:!?/\\+-]+$', '', 'g')) AS w FROM {rows}),
+  te0 AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tw), te1 AS (SELECT item_id, term, lower(term) AS key, pos FROM te0),
+  te AS (SELECT item_id, key, min(pos) AS pos, arg_min(term, pos) AS term FROM te1 WHERE length(key) >= 2 AND key NOT IN ({stop}) AND NOT (regexp_matches(key, '^[0-9a-f]+$') AND regexp_matches(key, '[0-9]') AND regexp_matches(key, '[a-f]'))
+    AND NOT (length(key) >= 12 AND regexp_matches(key, '[0-9]')) AND NOT (regexp_matches(key, '^[0-9]+$') AND length(key) <> 4) GROUP BY item_id, key),
+  td2 AS (SELECT key, round((ln(((SELECT count(*) FROM {rows} WHERE {meant} <> '') + 1.0) / count(*)) + 1) * least(length(key), 16) / 8.0 * CASE WHEN regexp_matches(replace(replace(key, '.', ''), ',', ''), '^[0-9]+$') THEN 0.75 ELSE 1.0 END, 9) AS score FROM te GROUP BY key)"""
+
+
+def _terms_sql(rows: str) -> str:
+    return _TERMS.format(meant=_MEANT.format("text"), rows=rows, stop=_STOP)
 
 
-@query(f"WITH {_TERMS} SELECT item_id, term, CAST(pos AS INTEGER) AS pos, round(score, 6) AS score FROM te JOIN td2 USING (term)")
+_RICH = "rich AS (SELECT item_id, text || ' (In 2024, 1,200.50 kg of v1.2.3: a1b2 deadbeef42, Section TABLE!)' || chr(10) || 'OCR/VLM processing required' AS text FROM benchmark)"
+
+
+@query(f"WITH {_RICH}, {_terms_sql('rich')} SELECT item_id, term, CAST(row_number() OVER (PARTITION BY item_id ORDER BY pos) AS INTEGER) AS place, round(score, 6) AS score FROM te JOIN td2 USING (key)")
 def b09_salient_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.scored_terms(_passages(spark, sf_dir)).select("item_id", "term", "pos", F.round("score", 6).alias("score"))
+    """The terms of every benchmark item, to which are added numbers, identifiers, stop words and a placeholder."""
+    rich = F.concat("text", F.lit(" (In 2024, 1,200.50 kg of v1.2.3: a1b2 deadbeef42, Section TABLE!)\nOCR/VLM processing required"))
+    t = K.scored_terms(_passages(spark, sf_dir).withColumn("text", rich))
+    return t.select("item_id", "term", F.row_number().over(Window.partitionBy("item_id").orderBy("pos")).alias("place"), F.round("score", 6).alias("score"))
 
 
 @query()
 def f16_salient_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six terms for every document, none within another where it can be helped."""
+    """Up to eight terms for every document, none within another where that leaves three."""
     d = corpus(spark, sf_dir)
-    return K.chosen_terms(K.scored_terms(d), 6).select("item_id", F.array_join("terms", " ").alias("terms"))
+    return K.drafted(K.chosen_terms(K.scored_terms(d))).select("item_id", F.array_join("terms", " ").alias("terms"), "query", F.round("score", 6).alias("score"))
 
 
 @query()
 def k20_page_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case for every document, the first of each query, with the share of its terms that its target has."""
     d = corpus(spark, sf_dir)
-    c = K.first_per(K.page_cases(K.chosen_terms(K.scored_terms(d), 4)), [F.lower("query")], "item_id")
+    c = K.first_per(K.page_cases(K.chosen_terms(K.scored_terms(d))), [F.lower("query")], "item_id")
     return c.join(K.target_overlap(c, d), "case_id").select("case_id", "query", "item_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query("""WITH c AS (SELECT item_id, lower(trim(substr(text, 1, 12))) AS q FROM benchmark) SELECT item_id, q AS query FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY item_id) AS r FROM c) WHERE r = 1""")
+@query("""WITH c AS (SELECT item_id, text AS q FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents), n AS (SELECT item_id, lower(trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS q FROM c) SELECT item_id, md5(q) AS query FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY item_id DESC) AS r FROM n) WHERE r = 1""")
 def f17_first_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _passages(spark, sf_dir).select("item_id", F.lower(F.trim(F.substring("text", 1, 12))).alias("query"))
-    return K.first_per(c, [F.col("query")], "item_id").select("item_id", "query")
+    """Benchmark items and documents as cases, whole texts as queries; of equal ones one stays."""
+    c = _passages(spark, sf_dir).unionByName(corpus(spark, sf_dir).select((-1 - F.col("item_id")).alias("item_id"), "text")).select("item_id", F.lower(text.squeeze_ws(F.col("text"))).alias("query"))
+    return K.first_per(c, [F.col("query")], F.desc("item_id")).select("item_id", F.md5("query").alias("query"))
 
 
-@query(f"WITH {ASKED} SELECT item_id, CASE WHEN regexp_matches(w, '[가-힣]') THEN w || '에 대해 설명해 주세요.' ELSE 'What does the document say about ' || w || '?' END AS question FROM (SELECT query_id AS item_id, string_split(text, ' ')[1] AS w FROM asked)")
+@query(f"WITH {ASKED}, w AS (SELECT query_id AS item_id, CASE WHEN query_id % 5 = 0 THEN '주택 ' || text ELSE text END AS w FROM asked) SELECT item_id, CASE WHEN query_id_hangul THEN '어디에서 ' || w || ' 관련 항목을 찾을 수 있는가' ELSE 'Where is ' || w || ' discussed?' END AS question FROM (SELECT *, regexp_matches(w, '[가-힣]') AS query_id_hangul FROM w)")
 def b42_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).select(F.col("query_id").alias("item_id"), text.question(F.element_at(F.split("text", " "), 1)).alias("question"))
+    term = F.when(F.col("query_id") % 5 == 0, F.concat(F.lit("주택 "), "text")).otherwise(F.col("text"))
+    return asked(spark, sf_dir).select(F.col("query_id").alias("item_id"), text.question(term).alias("question"))
 
 
-@query("""WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN '85%' WHEN 2 THEN 'n/a' ELSE '-0.5' END AS v, value FROM events)
-    SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(greatest(value, 0), 1) WHEN 1 THEN 1.0 WHEN 2 THEN NULL ELSE 0.0 END AS clamped, CASE event_id % 4 WHEN 0 THEN CASE WHEN value > 100 THEN 1.0 WHEN value > 1 THEN round(value / 100, 9) ELSE greatest(value, 0) END WHEN 1 THEN 0.85 WHEN 2 THEN NULL ELSE 0.0 END AS percent,
-    CASE event_id % 4 WHEN 0 THEN CASE WHEN value > 100 OR value < 0 THEN NULL WHEN value > 1 THEN round(value / 100, 9) ELSE value END WHEN 1 THEN 0.85 ELSE NULL END AS strict FROM x""")
+@query("""WITH x AS (SELECT event_id, event_id % 6 AS k, value FROM events)
+    SELECT event_id, CASE k WHEN 0 THEN least(greatest(value, 0), 1) WHEN 3 THEN 0.0 WHEN 4 THEN 1.0 END AS clamped,
+    CASE k WHEN 0 THEN CASE WHEN value > 100 THEN 1.0 WHEN value > 1 THEN value / 100 ELSE greatest(value, 0) END WHEN 1 THEN 0.85 WHEN 3 THEN 0.0 WHEN 4 THEN 0.4 END AS percent,
+    CASE k WHEN 0 THEN CASE WHEN value > 100 OR value < 0 THEN NULL WHEN value > 1 THEN round(value / 100, 6) ELSE round(value, 6) END WHEN 1 THEN 0.85 WHEN 4 THEN 0.4 END AS strict FROM x""")
 def b41_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    v = F.when(k == 0, F.col("value").cast("string")).when(k == 1, "85%").when(k == 2, "n/a").otherwise("-0.5")
-    fix = lambda c: F.when(F.lower(v) == "n/a", F.lit(None).cast("double")).otherwise(F.round(c, 9))
-    return table(spark, sf_dir, "events").select("event_id", fix(text.confidence(v)).alias("clamped"), fix(text.confidence(v, percent=True)).alias("percent"), fix(text.confidence(v, percent=True, strict=True)).alias("strict"))
+    """Numbers, 85%, n/a, one below 0, one with blanks, nothing."""
+    k = F.col("event_id") % 6
+    v = F.when(k == 0, F.col("value").cast("string")).when(k == 1, "85%").when(k == 2, "n/a").when(k == 3, "-0.5").when(k == 4, " 40 ")
+    return table(spark, sf_dir, "events").select("event_id", text.confidence(v).alias("clamped"), text.confidence(v, percent=True).alias("percent"), text.confidence(v, percent=True, strict=True).alias("strict"))
 
 
 @query("""WITH u AS (SELECT user_id, avg(value) / 100 AS a, CASE WHEN user_id % 2 = 0 THEN NULL ELSE count(*) / 1000.0 END AS b FROM events GROUP BY user_id) SELECT user_id, round(CASE WHEN b IS NULL THEN a ELSE (a * 0.3 + b * 0.25) / 0.55 END, 6) AS score FROM u""")
@@ -325,7 +341,11 @@ def d24_cases_without_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("query_id").join(targets(spark, sf_dir), "query_id", "left_anti")
 
 
-@query(f"WITH {ASKED} SELECT query_id, CASE WHEN length(text) > 60 THEN 'lexical' WHEN contains(text, 'e') THEN 'dense_text' ELSE 'other' END AS family FROM asked")
+#: Sources and what the rules make of each.
+_SOURCES = {"bm25": "lexical", "bm25:de": "bm25", "Lexical_v2:x": "lexical", "dense": "dense_text", " dense ": "dense_text", "dense:x": "dense", "text_dense:main": "dense_text", "caption_dense": "visual", "OBJECT_DENSE:y": "visual", "image_dense": "visual", "caption": "caption", "triple_dense": "graph", "graph": "graph", "graph:z": "graph", "rerank:lexical": "reranker", "reranked": "reranked", "": "unknown", "other:x": "other"}
+
+
+@query(f"SELECT event_id, {list(_SOURCES.values())!r}[event_id % {len(_SOURCES)} + 1] AS family FROM events")
 def b38_source_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.when(F.length("text") > 60, "bm25:de").when(F.contains("text", F.lit("e")), "text_dense:main").otherwise("other:x")
-    return asked(spark, sf_dir).select("query_id", text.source_family(s).alias("family"))
+    source = F.element_at(F.array(*[F.lit(s) for s in _SOURCES]), (F.col("event_id") % len(_SOURCES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.source_family(source).alias("family"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import written
+from ..functions import text
 from ..operators import chunks as C
 from ..operators import links as L
+from ..operators import records as R
 from .corpus import ASSET_TRIPLES, PACKAGE, PAGES, asset_triples, assets, chunks, links, pages, table
 from .registry import query
 
@@ -98,18 +101,18 @@ def d16_parent_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)
-    SELECT a.conv_id, a.turn, b.turn AS near_turn, CAST(b.place - a.place AS INTEGER) AS distance FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.place <> b.place AND abs(a.place - b.place) <= 2 WHERE a.turn % 3 = 1""")
+    SELECT a.conv_id, a.turn, b.turn AS near_turn, CAST(b.place - a.place AS INTEGER) AS distance FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.place <> b.place AND abs(a.place - b.place) <= 2""")
 def d17_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two turns before and after each hit, a hit being every third turn."""
+    """Two turns before and after each turn."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("item_id"))
     items = c.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("item_id")))
-    return L.neighbours(items, c.where("item_id % 3 = 1"), 2).select(F.col("doc").alias("conv_id"), F.col("item_id").alias("turn"), F.col("near_id").alias("near_turn"), "distance")
+    return L.neighbours(items, c, 2).select(F.col("doc").alias("conv_id"), F.col("item_id").alias("turn"), F.col("near_id").alias("near_turn"), "distance")
 
 
-@query(f"WITH {PACKAGE}, {ASSET_TRIPLES}, hit AS (SELECT chunk_id FROM ch WHERE doc_id % 5 = 0) SELECT 'asset' AS kind, asset_id AS id FROM ast WHERE asset_id IN (SELECT asset_id FROM lk JOIN hit USING (chunk_id)) UNION ALL SELECT 'triple', triple_id FROM atr WHERE triple_id IN (SELECT triple_id FROM rs JOIN hit USING (chunk_id))")
+@query(f"WITH {PACKAGE}, {ASSET_TRIPLES}, hit AS (SELECT chunk_id FROM ch) SELECT 'asset' AS kind, asset_id AS id FROM ast WHERE asset_id IN (SELECT asset_id FROM lk JOIN hit USING (chunk_id)) UNION ALL SELECT 'triple', triple_id FROM atr WHERE triple_id IN (SELECT triple_id FROM rs JOIN hit USING (chunk_id))")
 def d18_context_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assets and triples of a context's chunks."""
-    hit = chunks(spark, sf_dir).where("doc_id % 5 = 0").select("chunk_id")
+    """Assets and triples of the chunks of a context that holds them all."""
+    hit = chunks(spark, sf_dir).select("chunk_id")
     a = assets(spark, sf_dir).join(links(spark, sf_dir).join(hit, "chunk_id"), "asset_id", "left_semi").select(F.lit("asset").alias("kind"), F.col("asset_id").alias("id"))
     t = asset_triples(spark, sf_dir).join(_resolved(spark, sf_dir).join(hit, "chunk_id"), "triple_id", "left_semi").select(F.lit("triple"), "triple_id")
     return a.union(t)
@@ -159,63 +162,118 @@ def k01_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.page_chunks(pages(spark, sf_dir), sections(spark, sf_dir)).select("chunk_id", "kind", "section", F.md5("text").alias("text"), "needs_ocr")
 
 
-@query(f"""WITH {PACKAGE}, b AS (SELECT chunk_id, 'Visual context:' || chr(10) || string_agg('- ' || kind || ' ' || asset_id || ': ' || trim(regexp_replace(caption, '\\s+', ' ', 'g')), chr(10) ORDER BY page_no, asset_id) AS t FROM lk JOIN ast USING (asset_id) GROUP BY chunk_id)
-    SELECT chunk_id, CASE WHEN length(t) <= 700 THEN t ELSE rtrim(substr(t, 1, 697)) || '...' END AS block FROM b""")
-def k03_visual_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.visual_block(links(spark, sf_dir), assets(spark, sf_dir))
+def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assets with all that is said of them: the whole body as what was read off them; its long words as entities and objects, one of them twice; some with a place, some with a box."""
+    a = written(assets(spark, sf_dir).withColumn("w", F.slice(F.array_distinct(F.transform(F.filter(F.split("body", " "), lambda w: F.length(w) >= 6), lambda w: F.lower(w))), 1, 12)))
+    word = lambda i: F.try_element_at("w", F.lit(i))
+    box = F.array(*[F.lit(x) for x in (0.0, 0.0, 0.3, 0.3)])
+    none = F.lit(None).cast("string")
+
+    def seen(label: Column, attributes: Column, description: Column, location: Column, boxed: Column, source: str) -> Column:
+        return F.struct(label.alias("label"), attributes.alias("attributes"), description.alias("description"), location.alias("location"), F.when(boxed, box).alias("bbox"), none.alias("bbox_region"), F.lit(0.5).alias("confidence"), F.lit(source).alias("source_key"))
+
+    i = F.col("page_id")
+    first = lambda label: seen(label, F.array_compact(F.array(word(2), F.upper(word(2)))), word(3), F.when(i % 4 == 0, "top"), i % 5 == 0, "objects")
+    objects = F.array(first(word(1)), first(F.upper(word(1))), seen(F.col("kind"), F.array().cast("array<string>"), none, none, F.lit(True), "detections"))
+    return a.select(
+        "asset_id", "page_id", "doc", "page_no", "kind", "caption", F.col("body").alias("ocr_text"), F.when(i % 3 == 0, F.concat(F.lit("Summary of "), "caption")).alias("vlm_summary"), F.col("kind").alias("page_type"), F.array().cast("array<string>").alias("key_points"),
+        F.col("w").alias("entities"), F.when(i % 2 == 0, F.array("kind", F.lit("Frame"), F.lit(" frame "))).otherwise(F.array().cast("array<string>")).alias("visual_elements"), objects.alias("objects"),
+    )
 
 
-def _texts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The assets with their texts: caption, body and long words; of the body its opening, as the queries with SQL have it, or the whole."""
-    a = assets(spark, sf_dir)
-    body, seen = (F.col("body"), F.col("body")) if whole else (F.substring("body", 1, 80), F.substring("body", 1, 400))
-    words = F.filter(F.split(seen, " "), lambda w: F.length(w) >= 6)
-    return a.withColumn("texts", C.asset_texts([F.col("caption"), body, words], [None, None, 6]))
+_SQUEEZED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_RICH = rf"""wl AS (SELECT *, list_transform(list_filter(string_split(body, ' '), lambda w: length(w) >= 6), lambda w: lower(w)) AS ws FROM ast), wd AS (SELECT *, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS w FROM wl),
+  ob AS (SELECT *, page_id % 4 = 0 AS top, page_id % 5 = 0 AS boxed, CASE WHEN page_id % 3 = 0 THEN 'Summary of ' || caption END AS summary FROM wd),
+  ph AS (SELECT *, CASE WHEN w[1] IS NOT NULL THEN w[1] || CASE WHEN coalesce(w[2], w[3], CASE WHEN top THEN 'top' END, CASE WHEN boxed THEN 'b' END) IS NULL THEN '' ELSE ': ' || concat_ws(', ', w[2], w[3], CASE WHEN top THEN 'top' WHEN boxed THEN 'upper left' END) END END AS p1 FROM ob),
+  rw AS (SELECT *, list_filter([trim(coalesce(caption, '')), trim(body), trim(coalesce(summary, '')), 'Page type: ' || kind, CASE WHEN len(w) > 0 THEN 'Entities: ' || array_to_string(w[1:8], '; ') ELSE '' END, CASE WHEN page_id % 2 = 0 THEN 'Visual elements: ' || kind || '; Frame' ELSE '' END,
+         'Objects: ' || concat_ws('; ', p1, kind || ': upper left')], lambda x: x <> '') AS raw FROM ph),
+  tx AS (SELECT *, list_filter(raw, lambda x, i: list_position(list_transform(raw, lambda y: lower({_SQUEEZED.format('y')})), lower({_SQUEEZED.format('x')})) = i) AS parts FROM rw),
+  cs AS (SELECT ch.*, section, CASE WHEN section IS NULL THEN '' ELSE 'Section: ' || section || chr(10) END || 'Page range: ' || page_start || '-' || page_end AS lead FROM ch JOIN ws USING (doc_id)),
+  pr AS (SELECT tx.*, lk.chunk_id AS parent, coalesce(cs.lead, 'Page range: ' || page_no || '-' || page_no) AS lead, CASE kind WHEN 'chart' THEN 'figure' ELSE kind END AS ckind FROM tx LEFT JOIN (SELECT * FROM lk WHERE ord % 7 <> 0) lk ON tx.asset_id = lk.asset_id LEFT JOIN cs ON lk.chunk_id = cs.chunk_id)"""
+_SAID = f"{PACKAGE}, {_SECTIONS}, {_RICH}"
 
 
-_TEXTS = """wl AS (SELECT asset_id, doc, page_no, kind, list_concat([caption, trim(substr(body, 1, 80))], list_slice(list_filter(string_split(substr(body, 1, 400), ' '), lambda w: length(w) >= 6), 1, 6)) AS raw FROM ast),
-  sq AS (SELECT asset_id, doc, page_no, kind, list_filter(list_transform(raw, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS raw FROM wl),
-  tx AS (SELECT asset_id, doc, page_no, kind, list_filter(raw, lambda x, i: list_position(list_transform(raw, lambda y: lower(y)), lower(x)) = i) AS texts FROM sq)"""
+def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks with their section, and links of which every seventh is missing."""
+    c = chunks(spark, sf_dir).drop("source_id", "parent_id").withColumn("kind", F.lit("text"))
+    return L.with_section(c.withColumn("page_no", F.col("page_start")), sections(spark, sf_dir)).drop("page_no"), links(spark, sf_dir).where("ord % 7 <> 0")
 
 
-@query(f"WITH {PACKAGE}, {_TEXTS} SELECT asset_id, CAST(len(texts) AS INTEGER) AS n, array_to_string(texts, ' | ') AS texts FROM tx")
+@query(f"WITH {_SAID} SELECT asset_id, CAST(len(parts) AS INTEGER) AS n, md5(array_to_string(parts, chr(10))) AS text FROM tx")
 def b20_asset_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, sf_dir).select("asset_id", F.size("texts").alias("n"), F.array_join("texts", " | ").alias("texts"))
+    return rich(spark, sf_dir).select("asset_id", F.size(R.asset_parts()).alias("n"), F.md5(R.asset_text()).alias("text"))
+
+
+@query(rf"""WITH {_SAID}, b AS (SELECT chunk_id, {_SQUEEZED.format("'- ' || kind || ' page ' || page_no || ': ' || array_to_string(parts, ' ')")} AS t FROM lk JOIN tx USING (asset_id))
+    SELECT chunk_id, CASE WHEN length(t) <= 700 THEN t ELSE rtrim(substr(t, 1, 699)) || '...' END AS context FROM b""")
+def k03_visual_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.visual_context(links(spark, sf_dir).select("chunk_id", "asset_id", F.lit(0).alias("pos")), rich(spark, sf_dir))
 
 
-@query(f"WITH {PACKAGE}, {_TEXTS} SELECT substr(sha256(doc || ':' || page_no || ':' || page_no || ':visual_' || kind || ':' || asset_id), 1, 20) AS chunk_id, asset_id, 'visual_' || kind AS kind, array_to_string(texts, chr(10)) AS text FROM tx WHERE len(texts) > 0")
+@query(f"WITH {_SAID} SELECT substr(sha256(coalesce(parent, 'unlinked') || ':visual:' || asset_id), 1, 20) AS chunk_id, asset_id, ckind AS kind, parent IS NULL AS unlinked, md5(lead || chr(10) || 'Visual asset kind: ' || kind || chr(10) || 'Asset page: ' || page_no || chr(10) || array_to_string(parts, chr(10))) AS text FROM pr")
 def k04_asset_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.asset_chunks(_texts(spark, sf_dir)).select("chunk_id", "asset_id", "kind", "text")
+    return R.asset_chunks(rich(spark, sf_dir), *_placed(spark, sf_dir)).select("chunk_id", "asset_id", "kind", "unlinked", F.md5("text").alias("text"))
+
+
+@query(f"WITH {_SAID} SELECT count(*) AS chunks, count(DISTINCT asset_id) AS assets FROM pr WHERE parent IS NULL")
+def e07_standalone_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.standalone(R.asset_chunks(rich(spark, sf_dir), *_placed(spark, sf_dir)))
+
+
+_OBJECTS = f"""{_SAID}, o0 AS (SELECT pr.*, 0 AS ord0, w[1] AS label, '' AS feature, concat_ws(chr(10), 'Object: ' || w[1], 'Attributes: ' || w[2], 'Description: ' || w[3], CASE WHEN top THEN 'Location: top' END, CASE WHEN boxed THEN 'Bbox region: upper left' END, 'Source field: objects') AS head FROM pr WHERE w[1] IS NOT NULL
+    UNION ALL SELECT pr.*, 1, kind, '', concat_ws(chr(10), 'Object: ' || kind, 'Bbox region: upper left', 'Source field: detections') FROM pr
+    UNION ALL SELECT pr.*, 2 + i, CASE i WHEN 0 THEN kind ELSE 'Frame' END, 'visual_element', concat_ws(chr(10), 'Visual feature: ' || CASE i WHEN 0 THEN kind ELSE 'Frame' END, 'Feature type: visual_element', 'Source field: visual_elements') FROM pr, (VALUES (0), (1)) x(i) WHERE page_id % 2 = 0),
+  o1 AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ord0) - 1 AS idx, concat_ws(chr(10), head, 'Page type: ' || kind, CASE WHEN caption <> '' THEN rtrim('Caption: ' || caption) END, rtrim('VLM summary: ' || summary)) AS otext FROM o0)"""
 
 
-@query(f"""WITH {PACKAGE}, {_TEXTS}, m AS (SELECT chunk_id, list_sort(list_distinct(list(t))) AS ts FROM lk JOIN (SELECT asset_id, unnest(texts) AS t FROM tx) USING (asset_id) GROUP BY chunk_id)
-    SELECT chunk_id, md5(text || chr(10) || array_to_string(list_filter(coalesce(ts, []), lambda t: NOT contains(lower(text), lower(t))), chr(10))) AS text FROM ch LEFT JOIN m USING (chunk_id)""")
+@query(f"WITH {_OBJECTS} SELECT asset_id || ':object:' || idx AS object_id, asset_id, CAST(idx AS INTEGER) AS object_index, label, feature, md5(otext) AS text FROM o1")
+def k07_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.object_records(rich(spark, sf_dir)).select("object_id", "asset_id", "object_index", F.col("o.label").alias("label"), "feature", F.md5("text").alias("text"))
+
+
+@query(f"WITH {_OBJECTS} SELECT substr(sha256(coalesce(parent, 'unlinked') || ':visual-object:' || asset_id || ':object:' || idx), 1, 20) AS chunk_id, asset_id, ckind AS kind, md5(lead || chr(10) || 'Visual object: ' || label || chr(10) || 'Visual asset kind: ' || kind || chr(10) || 'Asset page: ' || page_no || chr(10) || otext) AS text FROM o1")
+def k05_object_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.object_chunks(rich(spark, sf_dir), *_placed(spark, sf_dir)).select("chunk_id", "asset_id", "kind", F.md5("text").alias("text"))
+
+
+@query(rf"""WITH {_SAID}, m AS (SELECT ch.chunk_id, CASE WHEN parts IS NULL THEN [text] ELSE list_concat([text], parts) END AS ps FROM ch LEFT JOIN lk USING (chunk_id) LEFT JOIN tx USING (asset_id)),
+    q AS (SELECT chunk_id, ps, list_transform(ps, lambda y: {_SQUEEZED.format('y')}) AS ks FROM m)
+    SELECT chunk_id, md5(array_to_string(list_filter(ps, lambda x, i: ks[i] <> '' AND list_position(ks, ks[i]) = i), chr(10))) AS text FROM q""")
 def k09_lexical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.lexical_text(chunks(spark, sf_dir), links(spark, sf_dir), _texts(spark, sf_dir)).select("chunk_id", F.md5("text").alias("text"))
+    return R.lexical_text(chunks(spark, sf_dir), links(spark, sf_dir).select("chunk_id", "asset_id", F.lit(0).alias("pos")), rich(spark, sf_dir)).select("chunk_id", F.md5("text").alias("text"))
 
 
 @query()
 def k02_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five chunking strategies over all pages: (strategy, kind, chunks, chars)."""
-    p = C.page_chunks(pages(spark, sf_dir), sections(spark, sf_dir))
-    v = C.asset_chunks(_texts(spark, sf_dir, whole=True))
-    f = C.families(p, v, C.split_chunks(p), C.hierarchical(p))
+    f = R.strategies(*_package_chunks(spark, sf_dir))
     return f.groupBy("strategy", "kind").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
+def _package_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = C.page_chunks(pages(spark, sf_dir), sections(spark, sf_dir))
+    a = rich(spark, sf_dir)
+    at = p.select("chunk_id", "doc", F.col("page_start").alias("page_no"))
+    k = a.where("page_id % 7 <> 0").join(at, ["doc", "page_no"]).select("chunk_id", F.col("page_id").alias("ord"), "asset_id")
+    return p, a, k
+
+
 @query()
 def k06_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.page_chunks(pages(spark, sf_dir), sections(spark, sf_dir))
-    return C.hierarchical(p, C.visual_block(links(spark, sf_dir), assets(spark, sf_dir)))
+    p, a, k = _package_chunks(spark, sf_dir)
+    return R.hierarchy(R.contextualised(p), R.visual_context(k.select("chunk_id", "asset_id", F.lit(0).alias("pos")), a))
 
 
-@query(f"""WITH {PACKAGE}, {_TEXTS}, pt AS (SELECT asset_id, unnest(texts) AS part FROM tx), lp AS (SELECT pt.asset_id, part, coalesce(max(CASE WHEN contains(lower(text), lower(CASE WHEN length(part) > 80 THEN substr(part, 1, 80) ELSE part END)) THEN 1 ELSE 0 END), 0) AS seen FROM pt LEFT JOIN lk USING (asset_id) LEFT JOIN ch USING (chunk_id) GROUP BY ALL)
+@query(rf"""WITH {_SAID}, pt AS (SELECT asset_id, unnest(parts) AS part FROM tx), nm AS (SELECT asset_id, part, lower({_SQUEEZED.format('part')}) AS p FROM pt), nc AS (SELECT chunk_id, lower({_SQUEEZED.format('text')}) AS t FROM ch),
+    lp AS (SELECT asset_id, part, coalesce(max(CASE WHEN contains(t, p) OR length(p) > 80 AND contains(t, substr(p, 1, 80)) THEN 1 ELSE 0 END), 0) AS seen FROM nm LEFT JOIN lk USING (asset_id) LEFT JOIN nc USING (chunk_id) GROUP BY ALL)
     SELECT count(DISTINCT asset_id) AS assets, count(*) AS parts, CAST(sum(seen) AS BIGINT) AS covered, round(CAST(sum(seen) AS DOUBLE) / count(*), 6) AS part_coverage FROM lp""")
 def e06_visual_text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the assets' parts a linked chunk holds; of long parts the opening counts."""
-    part = F.when(F.length("part") > 80, F.substring("part", 1, 80)).otherwise(F.col("part"))
-    x = _texts(spark, sf_dir).select("asset_id", F.explode("texts").alias("part")).join(links(spark, sf_dir).select("asset_id", "chunk_id"), "asset_id", "left").join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id", "left")
-    s = x.groupBy("asset_id", "part").agg(F.coalesce(F.max(F.contains(F.lower("text"), F.lower(part)).cast("int")), F.lit(0)).alias("seen"))
+    """How many of the assets' parts a linked chunk holds, or of a long part its opening, but for case and white space."""
+    plain = lambda c: F.lower(text.squeeze_ws(F.col(c)))
+    a = rich(spark, sf_dir).select("asset_id", F.explode(R.asset_parts()).alias("part")).withColumn("p", plain("part"))
+    x = a.join(links(spark, sf_dir).select("asset_id", "chunk_id"), "asset_id", "left").join(chunks(spark, sf_dir).select("chunk_id", plain("text").alias("t")), "chunk_id", "left")
+    holds = F.contains("t", F.col("p")) | ((F.length("p") > 80) & F.contains("t", F.left("p", F.lit(80))))
+    s = x.groupBy("asset_id", "part").agg(F.coalesce(F.max(holds.cast("int")), F.lit(0)).alias("seen"))
     return s.agg(F.count_distinct("asset_id").alias("assets"), F.count("*").alias("parts"), F.sum("seen").alias("covered"), F.round(F.sum("seen") / F.count("*"), 6).alias("part_coverage"))
 
 

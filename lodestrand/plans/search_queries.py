@@ -1,4 +1,4 @@
-"""Queries of retrieval: the benchmark's openings against all documents."""
+"""Queries of retrieval: every benchmark item against all documents."""
 
 from __future__ import annotations
 
@@ -55,24 +55,24 @@ def _out(df: DataFrame, *more: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT df.token, CAST(df.df AS BIGINT) AS df, round(CASE WHEN r < 0 THEN f ELSE r END, 6) AS idf FROM df JOIN raw USING (token), fl")
 def e02_bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idf = written(R.corpus_stats(corpus(spark, sf_dir)))
+    idf = written(R.corpus_stats(R.postings(corpus(spark, sf_dir))))
     floor = idf.agg((F.avg("raw") * R.EPSILON).alias("f"))
     return idf.crossJoin(F.broadcast(floor)).select("token", F.col("df").cast("long").alias("df"), F.round(F.when(F.col("raw") < 0, F.col("f")).otherwise(F.col("raw")), 6).alias("idf"))  # one row
 
 
 @query(f"WITH {_BM25} {_RANKED} ({_top('bm', 10)})")
 def f02_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(R.top_k(R.bm25_scores(corpus(spark, sf_dir), asked(spark, sf_dir)), 10, "bm25"))
+    return _out(R.bm25_topk(R.postings(corpus(spark, sf_dir)), asked(spark, sf_dir), 10))
 
 
 @query(f"WITH {ASKED}, {_DENSE} {_RANKED} ({_top('de', 5)})")
 def f03_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(R.top_k(R.dense_scores(corpus(spark, sf_dir), asked(spark, sf_dir)), 5, "dense"))
+    return _out(R.dense_topk(corpus(spark, sf_dir), asked(spark, sf_dir), 5))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    return R.top_k(R.bm25_scores(c, q), 20, "bm25").unionByName(R.top_k(R.dense_scores(c, q), 20, "dense"))
+    return R.bm25_topk(R.postings(c), q, 20).unionByName(R.dense_topk(c, q, 20))
 
 
 @query(f"WITH {_BM25}, {_DENSE}, {_HITS}, {_FUSED} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM fu) WHERE rank <= 5")
@@ -86,43 +86,66 @@ _RERANK = f"""pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
          FROM pool JOIN qd USING (query_id) JOIN cd USING (item_id))"""
 
 
-@query(f"WITH {_BM25}, {_DENSE}, {_HITS}, {_FUSED}, {_RERANK} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, sources || ',rerank:lexical' AS sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, before) AS rank FROM rr) WHERE rank <= 5")
-def f12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, q = corpus(spark, sf_dir), asked(spark, sf_dir)
-    return _out(R.lexical_rerank(R.fuse(_hits(spark, sf_dir), 20), c, q, 5), F.array_join("sources", ",").alias("sources"))
-
-
 @query(f"WITH {_BM25}, {_DENSE}, {_HITS}, gr(source, w) AS (VALUES ('bm25', 1.0), ('dense', 0.5)), fu AS (SELECT query_id, item_id, sum(w / (60 + rank)) AS score FROM hits JOIN gr USING (source) GROUP BY ALL) {_RANKED} ({_top('fu', 5)})")
 def f08_family_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = spark.createDataFrame([("lexical", 1.0), ("dense", 0.5), ("dense_text", 0.0)], "source string, weight double")
+    weights = spark.createDataFrame([("lexical", 3.0), ("dense", 0.5), ("dense_text", 0.0)], "source string, weight double")
     return _out(R.fuse(_hits(spark, sf_dir), 5, weights))
 
 
-_VEC = """v AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM embeddings),
-  q AS (SELECT label AS query_id, vec_id, embedding, l FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM v) WHERE r = 1),
-  sc AS (SELECT q.query_id, v.vec_id AS item_id, list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: CAST(v.embedding[i] AS DOUBLE) * q.embedding[i])) / (v.l * q.l) AS score FROM v, q)"""
+_VEC = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  l AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v),
+  q AS (SELECT vec_id AS query_id, e, l FROM l WHERE vec_id % 100 = 0),
+  sc AS (SELECT q.query_id, d.vec_id AS item_id, list_dot_product(d.e, q.e) / (d.l * q.l) AS score FROM l d, q)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose number is divisible by 100."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return v, v.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id")
 
 
 @query(f"WITH {_VEC} {_RANKED} ({_top('sc', 10)})")
-def f13_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first vector of each label as query, by cosine against all."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").alias("query_id"), "vector")
-    return _out(R.top_k(R.vector_scores(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), q), 10, "dense"))
+def a14_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(R.vector_topk(*_vectors(spark, sf_dir), 10))
+
+
+_FOURS = "al AS (SELECT vec_id AS child, min(vec_id) OVER (PARTITION BY vec_id // 4) AS parent FROM embeddings)"
 
 
-@query(f"""WITH {_VEC}, al AS (SELECT vec_id AS child, min(vec_id) OVER (PARTITION BY vec_id // 4) AS parent FROM embeddings),
-  h AS ({_top('sc', 20)}), c AS (SELECT h.*, parent FROM h JOIN al ON item_id = child),
-  b AS (SELECT query_id, parent, min(rank) AS best, count(*) AS n FROM c GROUP BY ALL)
-  SELECT query_id, parent AS item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best, parent) AS INTEGER) AS rank, CAST(n AS INTEGER) AS evidence FROM b""")
+def _fours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(child_id, parent_id): four vectors have the first of them for a parent, which has none."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4).alias("g"))
+    return v.join(v.groupBy("g").agg(F.min("vec_id").alias("parent_id")), "g").select(F.col("vec_id").alias("child_id"), "parent_id").where("child_id <> parent_id")
+
+
+@query(f"""WITH {_VEC}, {_FOURS}, h AS ({_top('sc', 20)}), c AS (SELECT h.*, parent FROM h JOIN al ON item_id = child)
+  SELECT query_id, parent AS item_id, CAST(min(rank) AS INTEGER) AS rank, coalesce(array_to_string(list_sort(list(item_id) FILTER (WHERE item_id <> parent)), ','), '') AS evidence FROM c GROUP BY query_id, parent""")
 def f09_hierarchy_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = R.vector_topk(*_vectors(spark, sf_dir), 20)
+    return R.collapse(hits, _fours(spark, sf_dir)).select("query_id", "item_id", "rank", F.array_join("evidence", ",").alias("evidence"))
+
+
+_HALF = "list_transform(embedding[{}:{}], lambda x: CAST(x AS DOUBLE))"
+
+
+@query(f"""WITH r AS (SELECT 'text_dense' AS name, vec_id, label, {_HALF.format(1, 32)} AS e FROM embeddings UNION ALL SELECT 'caption_dense', vec_id, label, {_HALF.format(33, 64)} FROM embeddings),
+  n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM r), {_FOURS},
+  s AS (SELECT d.name, q.vec_id AS query_id, d.vec_id AS target, list_dot_product(d.e, q.e) / (d.l * q.l) AS score FROM n d JOIN n q ON d.name = q.name AND q.vec_id % 100 = 0 WHERE d.label BETWEEN 1 AND 7),
+  h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name, query_id ORDER BY round(score, 9) DESC, target) AS rank FROM s) WHERE rank <= 30),
+  m AS (SELECT query_id, name, rank, CASE WHEN name = 'caption_dense' THEN target - target % 2 ELSE target END AS item FROM h),
+  c AS (SELECT m.*, parent FROM m JOIN al ON item = child), b AS (SELECT query_id, name, parent, min(rank) AS rank FROM c GROUP BY ALL), ev AS (SELECT query_id, parent, list_sort(list_distinct(list(item) FILTER (WHERE item <> parent))) AS ev FROM c GROUP BY ALL),
+  f AS (SELECT query_id, parent AS item_id, sum(CASE name WHEN 'caption_dense' THEN 0.7 ELSE 1.0 END / (60 + rank)) AS score, string_agg('vector:' || name, ',' ORDER BY name) AS sources FROM b GROUP BY ALL)
+  SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, sources, coalesce(array_to_string(ev, ','), '') AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM f) JOIN ev ON ev.query_id = f.query_id AND ev.parent = f.item_id WHERE rank <= 10""".replace("FROM f) JOIN ev ON ev.query_id = f.query_id AND ev.parent = f.item_id", "FROM f) f JOIN ev ON ev.query_id = f.query_id AND ev.parent = f.item_id").replace("SELECT query_id, item_id, CAST(rank AS", "SELECT f.query_id, item_id, CAST(rank AS"))
+def f13_multi_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two halves of every vector as two spaces, one of chunks, one of assets, of which two belong to a chunk; among records with labels 1 to 7; four chunks have a parent."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").alias("query_id"), "vector")
-    group = F.floor(F.col("vec_id") / 4)
-    first = v.groupBy(group.alias("g")).agg(F.min("vec_id").alias("parent_id"))
-    parents = v.select(F.col("vec_id").alias("child_id"), group.alias("g")).join(first, "g").select("child_id", "parent_id")
-    hits = R.top_k(R.vector_scores(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), q), 20, "dense")
-    return R.collapse(hits, parents).select("query_id", "item_id", "rank", F.size("evidence").alias("evidence"))
+    row = lambda name, low, asset: v.select(F.lit(name).alias("vector_name"), F.col("vec_id").alias("target_id"), F.col("vec_id").alias("item_id"), asset.alias("asset_id"), "label", F.slice("embedding", low, 32).alias("vector"))
+    records = row("text_dense", 1, F.lit(None).cast("long")).unionByName(row("caption_dense", 33, F.col("vec_id")))
+    queries = records.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "vector_name", "vector")
+    owners = v.select(F.col("vec_id").alias("asset_id"), (F.col("vec_id") - F.col("vec_id") % 2).alias("chunk_id"))
+    weights = spark.createDataFrame([("vector:caption_dense", 0.7), ("vector", 1.0)], "source string, weight double")
+    got = R.multi_vector_search(records, queries, v.select(F.col("vec_id").alias("item_id")), k=10, condition=(F.col("label") >= 1) & (F.col("label") <= 7), asset_chunks=owners, parents=_fours(spark, sf_dir), weights=weights)
+    return _out(got, F.array_join("sources", ",").alias("sources"), F.array_join("evidence", ",").alias("evidence"))
 
 
 _GQ = "gq AS (SELECT n_nationkey AS query_id, lower(n_name) || ' suppliers located in' AS text FROM nation)"
@@ -182,3 +205,42 @@ def f14_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, token, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY ALL")
 def a11_lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+
+
+def _terms_sql(table_: str) -> str:
+    """Related terms of the queries in a table."""
+    return f"""q AS (SELECT query_id, lower(text) AS q, list_filter(string_split(lower(text), ' '), lambda z: z <> '') AS qt FROM {table_}),
+  x AS (SELECT query_id, object AS term, 2 AS n FROM tr, q WHERE {_meets('subject')} UNION ALL SELECT query_id, predicate, 1 FROM tr, q WHERE {_meets('subject')}
+    UNION ALL SELECT query_id, subject, 2 FROM tr, q WHERE {_meets('object')} UNION ALL SELECT query_id, predicate, 1 FROM tr, q WHERE {_meets('object')}
+    UNION ALL SELECT query_id, subject, 1 FROM tr, q WHERE contains(q, lower(predicate)) UNION ALL SELECT query_id, object, 1 FROM tr, q WHERE contains(q, lower(predicate))),
+  rt AS (SELECT query_id, string_agg(term, ' ' ORDER BY n DESC, term) AS more FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS r FROM (SELECT query_id, term, sum(n) AS n FROM x GROUP BY ALL)) WHERE r <= 12 GROUP BY query_id)"""
+
+
+_PART0 = {c: _part(c) for c in "spo"}
+_HYBRID = f"""{ASKED.replace('asked AS', 'asked0 AS')}, {TRIPLES}, {_terms_sql('asked0')},
+  {_BM25.replace(ASKED, "asked AS (SELECT query_id, concat_ws(' ', text, more) AS text FROM asked0 LEFT JOIN rt USING (query_id))")}, {_DENSE},
+  tc AS (SELECT *, {_CLEAN.format('subject')} AS s, {_CLEAN.format('predicate')} AS p, {_CLEAN.format('object')} AS o FROM tr),
+  qc AS (SELECT query_id, {_CLEAN.format('text')} AS q, list_distinct(string_split({_CLEAN.format('text')}, ' ')) AS qt FROM asked0),
+  gs AS (SELECT query_id, CAST(substr(chunk_id, 2) AS BIGINT) AS item_id, max(CAST((CASE WHEN contains(s || ' ' || p || ' ' || o, q) THEN 8 ELSE 0 END) + len(list_intersect(qt, list_distinct(string_split(s || ' ' || p || ' ' || o, ' '))))
+      + {_PART0['s']} + {_PART0['p']} + {_PART0['o']} AS DOUBLE)) AS score FROM tc, qc GROUP BY ALL),
+  gp AS (SELECT * FROM gs WHERE score > 0),
+  h3 AS (SELECT *, 'bm25' AS source FROM ({_top('bm', 60)}) UNION ALL SELECT *, 'dense' FROM ({_top('de', 60)}) UNION ALL SELECT *, 'graph' FROM ({_top('gp', 60)})),
+  pa AS (SELECT doc_id AS child_id, doc_id - doc_id % 4 AS parent_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id // 4 % 2 = 0 AND doc_id - doc_id % 4 IN (SELECT doc_id FROM documents)),
+  cn AS (SELECT query_id, source, coalesce(parent_id, item_id) AS canon, rank, parent_id, item_id FROM h3 LEFT JOIN pa ON item_id = child_id),
+  cb AS (SELECT query_id, source, canon AS item_id, min(rank) AS rank FROM cn GROUP BY ALL),
+  ev AS (SELECT query_id, canon AS item_id, coalesce(array_to_string(list_sort(list_distinct(list(item_id) FILTER (WHERE parent_id IS NOT NULL))), ','), '') AS evidence FROM cn GROUP BY ALL),
+  fu AS (SELECT query_id, item_id, sum(1.0 / (60 + rank)) AS score, string_agg(source, ',' ORDER BY source) AS sources FROM cb GROUP BY query_id, item_id)"""
+
+
+@query(f"WITH {_HYBRID}, {_RERANK.replace('FROM asked)', 'FROM asked0)')} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, sources || ',rerank:lexical' AS sources, evidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, before) AS rank FROM rr) JOIN ev USING (query_id, item_id) WHERE rank <= 5")
+def f12_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: queries widened by the graph, hashed vectors, BM25, graph hits, hits of children counted for their parents, fusion, reranking of the 20 best.
+
+    Of eight documents the second to fourth are children of the first. A triple belongs to the document of its supplier's or nation's number.
+    """
+    c, q, t = corpus(spark, sf_dir), asked(spark, sf_dir), triples(spark, sf_dir)
+    own = c.select(F.col("item_id").alias("child_id"), (F.col("item_id") - F.col("item_id") % 4).alias("parent_id")).where((F.col("item_id") % 4 != 0) & (F.floor(F.col("item_id") / 4) % 2 == 0))
+    parents = own.join(c.select(F.col("item_id").alias("parent_id")), "parent_id", "left_semi")
+    at = t.select("triple_id", F.substring("chunk_id", 2, 18).cast("long").alias("chunk_id"))
+    got = R.hybrid_search(c, q, k=5, triples=t, triple_chunks=at, expand=True, parents=parents, rerank=True, depth=20)
+    return _out(got, F.array_join("sources", ",").alias("sources"), F.array_join("evidence", ",").alias("evidence"))

@@ -70,9 +70,15 @@ def b10_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("query_id", F.array_join(F.array_sort(text.audit_terms(F.col("text"))), " ").alias("terms"))
 
 
-@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(lower(trim(x)), '^\[?(image|table|figure|page) (omitted|placeholder)\]?$')), chr(10)), '[#*`|>_~]', ' ', 'g'), '\s+', ' ', 'g')) AS query FROM benchmark""")
+_MARKED = "'# ' || text || ' [x](y) `c` *b* > _q_' || chr(10) || 'Full page render for page 3' || chr(10) || 'end'"
+
+
+@query(rf"""WITH m AS (SELECT item_id, {_MARKED} AS t FROM benchmark) SELECT item_id, trim(regexp_replace(regexp_replace(t, '[|#*_`>\[\]()]', ' ', 'g'), '\s+', ' ', 'g')) AS query,
+    trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT contains(x, 'Full page render for page')), ' '), '[|#*_`>\[\]()]', ' ', 'g'), '\s+', ' ', 'g')) AS meaning FROM m""")
 def b11_query_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", text.normalise_query(F.col("text")).alias("query"))
+    """Benchmark items with Markdown and a placeholder line added."""
+    t = F.concat(F.lit("# "), "text", F.lit(" [x](y) `c` *b* > _q_\nFull page render for page 3\nend"))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.normalise_query(t).alias("query"), text.meaningful_text(t).alias("meaning"))
 
 
 @query(f"""WITH {PAGES} SELECT doc_id, CASE WHEN starts_with(text, p) THEN md5(text) ELSE md5(p || chr(10) || chr(10) || text) END AS prefixed
@@ -107,7 +113,7 @@ def b34_hash_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PAGES}, q AS (SELECT doc, lang, page_no, length(trim(text)) AS n FROM pg)
     SELECT doc, count(*) AS pages, CAST(sum(n) AS BIGINT) AS chars, round(avg(n), 1) AS mean_chars, median(CAST(n AS DOUBLE)) AS median_chars,
-           count(DISTINCT lang) AS langs, array_to_string(list_transform(list_sort(list(page_no) FILTER (WHERE n > 5000)), lambda x: CAST(x AS VARCHAR)), ',') AS long_pages FROM q GROUP BY doc""")
+           count(DISTINCT lang) AS langs, coalesce(array_to_string(list_transform(list_sort(list(page_no) FILTER (WHERE n > 5000)), lambda x: CAST(x AS VARCHAR)), ','), '') AS long_pages FROM q GROUP BY doc""")
 def e01_profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length(F.trim("text"))
     return pages(spark, sf_dir).groupBy("doc").agg(

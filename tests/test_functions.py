@@ -73,20 +73,25 @@ def test_payload_filters(spark):
 
 def test_model_answers():
     p = visual.parse_output
-    assert p('x ```json\n{"a": 1}\n``` y') == ("json_object", '{"a": 1}') and p("[1, 2]")[0] == "json_list" and p("3")[0] == "json_scalar"
+    assert p('x ```json\n{"a": 1}\n``` y') == ("json_object", '{"a": 1}') and p("[1, 2]")[0] == "json_list" and p("``` 3 ```")[0] == "json_scalar"
     assert p('so {"a": {"b": [1, 2]}} there') == ("json_object", '{"a": {"b": [1, 2]}}')
-    assert p('{"a": "b", "c": [1, 2') == ("json_repaired", '{"a": "b", "c": [1, 2]}')
-    assert p('{"a": "cut in the mid') == ("json_repaired", '{"a": "cut in the mid"}')
-    assert p(None) == p("") == p("nothing { here") == ("raw_text", None)
+    assert p('{"title": "b \\"q\\"", "entities": ["x", "X ", "y\\n z", "cut') == ("json_repaired", '{"entities": ["x", "y z"], "title": "b \\"q\\""}')
+    assert p('{"key_points": ["1", "2", "3", "4", "5", "6"') == ("json_repaired", '{"key_points": ["1", "2", "3", "4", "5"]}')
+    assert p('{"title": "cut in the mid') == p('{"page_type": "map", "x') == p(None) == p("") == p("3") == p("nothing { here") == ("raw_text", None)
+    long = '{"title": "t", "summary": "' + "a[" * 200_000
+    assert p(long) == ("json_repaired", '{"title": "t"}')
 
 
 def test_terms_are_chosen_without_overlap():
-    assert cases.choose([("engine", 0, 3.0), ("engines", 1, 2.9), ("oil", 2, 1.0)], 2) == ["engine", "oil"]
-    assert cases.choose([("engine", 0, 3.0), ("engines", 1, 2.9)], 2) == ["engine", "engines"]
+    term = lambda x, pos, score: (x, x.lower(), pos, score)
+    own = [term("engine", 0, 3.0), term("Engines", 1, 2.9), term("oil", 2, 1.0), term("gear", 3, 0.5)]
+    assert cases.choose(own, 2, 1) == [("engine", 3.0), ("oil", 1.0)] and cases.choose(own, 8, 3) == [("engine", 3.0), ("oil", 1.0), ("gear", 0.5)]
+    assert cases.choose(own[:2], 8, 2) == [("engine", 3.0), ("Engines", 2.9)] and cases.choose(own[:2], 8, 3) == []
+    assert cases.choose([*own[:2], term("x" * 20, 2, 9.0)], 8, 3) == [("engine", 3.0), ("Engines", 2.9), ("x" * 20, 9.0)]
 
 
 def test_salient_terms(spark):
-    assert one(spark, cases.salient_terms(F.lit("The engine ENGINE 12 1999 deadbeef01 a1b2c3d4e5f6g7h8i9j0 oil"))) == ["engine", "1999", "oil"]
+    assert one(spark, cases.salient_terms(F.lit("The engine: ENGINE, 12 1999 a1 deadbeef01 abcd x1b2c3d4e5f6 oil/ 3.5% table 개요 주택 v1.2"))) == ["the", "engine", "1999", "abcd", "oil", "3.5%", "주택", "v1.2"]
 
 
 def test_entity_names(spark):
@@ -96,8 +101,8 @@ def test_entity_names(spark):
 def test_empty_corpus_has_no_hits(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     q = spark.createDataFrame([(1, "word")], "query_id long, text string")
-    assert R.bm25_scores(none, q).collect() == [] and R.dense_scores(none, q).collect() == []
-    assert R.bm25_scores(q.select(F.col("query_id").alias("item_id"), "text"), none.select(F.col("item_id").alias("query_id"), "text")).collect() == []
+    assert R.bm25_scores(R.postings(none), q).collect() == [] and R.dense_topk(none, q, 3).collect() == [] and R.dense_topk(q.withColumnRenamed("query_id", "item_id"), q.limit(0), 3).collect() == []
+    assert R.bm25_scores(R.postings(q.select(F.col("query_id").alias("item_id"), "text")), none.select(F.col("item_id").alias("query_id"), "text")).collect() == []
 
 
 def test_bm25_against_plain_python(spark):
@@ -118,13 +123,13 @@ def test_bm25_against_plain_python(spark):
             s = max(s, 0) + len(set(t.split()) & set(d)) / len(set(t.split()))
             if s > 0:
                 want[q, i] = round(s, 9)
-    got = {(x["query_id"], x["item_id"]): round(x["score"], 9) for x in R.bm25_scores(spark.createDataFrame(docs, "item_id long, text string"), spark.createDataFrame(qs, "query_id long, text string")).collect()}
+    got = {(x["query_id"], x["item_id"]): round(x["score"], 9) for x in R.bm25_scores(R.postings(spark.createDataFrame(docs, "item_id long, text string")), spark.createDataFrame(qs, "query_id long, text string")).collect()}
     assert got == want
 
 
 def test_rank_fusion(spark):
     hits = spark.createDataFrame([(1, 10, 1, 2.0, "bm25"), (1, 11, 2, 1.0, "bm25"), (1, 11, 1, 0.9, "dense"), (1, 12, 1, 5.0, "graph")], "query_id long, item_id long, rank int, score double, source string")
-    w = spark.createDataFrame([("lexical", 2.0), ("graph", 0.0)], "source string, weight double")
+    w = spark.createDataFrame([("lexical", 9.0), ("bm25", 2.0), ("graph", 0.0)], "source string, weight double")
     got = [(r["item_id"], round(r["score"], 9), r["sources"]) for r in R.fuse(hits, 5, w).orderBy("rank").collect()]
     assert got == [(11, round(2 / 62 + 1 / 61, 9), ["bm25", "dense"]), (10, round(2 / 61, 9), ["bm25"])]
 
