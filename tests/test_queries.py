@@ -26,5 +26,5 @@ def test_gives_rows(spark, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["query_id", "item_id", "rank", "score", "sources"]
+    assert e.entry(spark).columns == ["query_id", "item_id", "rank", "score", "sources", "evidence"]
     assert set(e.oracle_sql()) <= set(e.queries())
