@@ -39,6 +39,11 @@ def cjk_ratio(text: Column) -> Column:
     return F.round(ratio(F.regexp_count(t, F.lit(r"[\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}\x{3040}-\x{30FF}]")), F.length(t)), 6)
 
 
+def casefold(text: Column) -> Column:
+    """Lower case in which the letters count as equal that have no upper case of one letter, or two lower ones."""
+    return F.replace(F.translate(F.lower(text), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+
+
 def clean_lines(text: Column) -> Column:
     """Every line stripped, blank ones dropped."""
     return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")

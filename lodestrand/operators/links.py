@@ -97,3 +97,16 @@ def merge_best(results: DataFrame, key: str, status: str = "status", order: str
     """Of each key the best result: completed before failed before skipped, the first on ties."""
     rank = F.when(F.col(status) == "completed", 0).when(F.col(status) == "failed", 1).otherwise(2)
     return first_by(results, key, rank, order)
+
+
+def job_assets(jobs: DataFrame, assets: DataFrame) -> DataFrame:
+    """jobs(job_id, asset_id) with their assets' columns, a status and an error: a job whose asset isn't there has failed."""
+    there = assets.withColumn("__there", F.lit(True))
+    x = jobs.join(there, "asset_id", "left")
+    gone = F.col("__there").isNull()
+    return x.select(*jobs.columns, F.when(gone, "failed").otherwise("completed").alias("status"), F.when(gone, "no such asset").alias("error"), *[c for c in assets.columns if c != "asset_id"])
+
+
+def chunk_order() -> list[Column]:
+    """The order of a document's chunks, which is total."""
+    return [F.col(c) for c in ("page_start", "page_end", "kind", "subchunk_index", "chunk_id")]

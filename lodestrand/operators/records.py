@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import sha_id
-from ..functions.text import bbox_region, squeeze_ws, trim_ellipsis
+from ..functions.text import bbox_region, casefold, squeeze_ws, trim_ellipsis
 from ..functions.vectors import hashed_vector
 from .chunks import split_chunks
 
@@ -42,13 +42,13 @@ def _first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
 def distinct_items(items: Column, limit: int) -> Column:
     """The first `limit` items that differ in more than case and white space, which is squeezed. For short arrays."""
     tidy = F.filter(F.transform(F.coalesce(items, F.array().cast(_STRINGS)), _plain), lambda x: x != "")
-    return F.slice(_first_of_each(tidy, F.lower), 1, limit)
+    return F.slice(_first_of_each(tidy, casefold), 1, limit)
 
 
 def kept_parts(parts: list[Column]) -> Column:
     """The parts that say something, each once but for case and white space, stripped, in order."""
     all_ = F.filter(F.transform(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda x: F.btrim(x, F.lit(_BLANKS))), lambda x: x != "")
-    return _first_of_each(all_, lambda x: F.lower(squeeze_ws(x)))
+    return _first_of_each(all_, lambda x: casefold(squeeze_ws(x)))
 
 
 def _named(label: str, items: Column, sep: str = "; ") -> Column:
@@ -90,8 +90,8 @@ def object_records(assets: DataFrame, cap: int = OBJECTS) -> DataFrame:
 
     def key(x: Column) -> Column:
         o = x["o"]
-        low = lambda c: F.lower(_plain(c))
-        parts = [low(o["label"]), F.lower(F.array_join(distinct_items(o["attributes"], ATTRIBUTES), "\x1f")), low(o["description"]), low(o["location"]), low(_region(o)), low(o["source_key"]), x["feature"], F.coalesce(F.to_json(o["bbox"]), F.lit(""))]
+        low = lambda c: casefold(_plain(c))
+        parts = [low(o["label"]), casefold(F.array_join(distinct_items(o["attributes"], ATTRIBUTES), "\x1f")), low(o["description"]), low(o["location"]), low(_region(o)), low(o["source_key"]), x["feature"], F.coalesce(F.to_json(o["bbox"]), F.lit(""))]
         return F.array_join(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), "\x1e")
 
     shape = f"struct<k:string,v:struct<o:{OBJECT},feature:string>>"

@@ -77,10 +77,17 @@ def clear(spark: SparkSession, path: str, names: list[str]) -> None:
 
 
 def write_vectors(records: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
-    """Vector records by vector name; returns a manifest (vector_name, records, dim, sha256 over the ids)."""
+    """Vector records by vector name; returns a manifest (vector_name, records, dim, dims, ids): dims, how many sizes its vectors have, which should be 1; ids, the SHA-256 over the sorted digests of the ids' SHA-256 by first byte, so that no task sorts all of them."""
     records.write.mode(mode).partitionBy("vector_name").parquet(path)
     back = records.sparkSession.read.parquet(path)
-    return back.groupBy("vector_name").agg(F.count("*").alias("records"), F.max(F.size("vector")).alias("dim"), F.hex(F.bit_xor(F.xxhash64("target_id"))).alias("ids"))
+    counts = back.groupBy("vector_name").agg(F.count("*").alias("records"), F.max(F.size("vector")).alias("dim"), F.count_distinct(F.size("vector")).alias("dims"))
+    named = back.select("vector_name", F.sha2(F.col("target_id").cast("string"), 256).alias("h"))
+    # how often each id occurs counts too; a digest is built up from slices of the hashes' order, each sorted by itself
+    once = named.groupBy("vector_name", "h").agg(F.count("*").alias("n"))
+    for width in (4, 2, 0):
+        once = once.groupBy("vector_name", F.left("h", F.lit(width)).alias("slice")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("*", "h", F.col("n").cast("string")))), "\n"), 256).alias("digest"))
+        once = once.select("vector_name", F.concat("slice", "digest").alias("h"), F.lit(1).alias("n"))
+    return counts.join(once.select("vector_name", F.col("h").alias("ids")), "vector_name")
 
 
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
