@@ -137,7 +137,7 @@ def tile_label(i: Column, n: Column, row: Column, col: Column) -> Column:
 
 def normalise_entity(label: Column) -> Column:
     """Quotes and outer space off, white space squeezed. NFKC is left to text that isn't ASCII or Latin-1 by norm_entity()."""
-    return squeeze_ws(F.regexp_replace(F.trim(label), "^[\"'“”‘’]+|[\"'“”‘’]+$", ""))
+    return squeeze_ws(F.regexp_replace(F.trim(label), "^[\"'`“”‘’]+|[\"'`“”‘’]+$", ""))
 
 
 def normalise_predicate(label: Column) -> Column:
@@ -155,10 +155,11 @@ def graph_text(label: Column) -> Column:
 
 def bbox_region(box: Column) -> Column:
     """Name of the ninth of the page that the box's centre is in; null unless the box lies within [0, 1] and has an extent."""
+    box = F.when(F.size(box) == 4, box)
     x, y = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
     third = lambda v, names: F.when(v < 1 / 3, names[0]).when(v > 2 / 3, names[2]).otherwise(names[1])
     name = F.trim(F.concat_ws(" ", third(y, ("upper", "middle", "lower")), third(x, ("left", "center", "right"))))
-    valid = (F.size(box) == 4) & (box[0] >= 0) & (box[1] >= 0) & (box[2] <= 1) & (box[3] <= 1) & (box[2] > box[0]) & (box[3] > box[1])
+    valid = (box[0] >= 0) & (box[1] >= 0) & (box[2] <= 1) & (box[3] <= 1) & (box[2] > box[0]) & (box[3] > box[1])
     return F.when(valid, F.when(name == "middle center", "center").otherwise(name))
 
 

@@ -5,11 +5,16 @@ Hits are (query_id, item_id, rank, score, source). Every ranking has a total ord
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import BROADCAST_BYTES, written
-from ..functions.text import fusion_family, graph_text, ratio, word_tokens
+from ..functions.text import WORD_PATTERN, fusion_family, graph_text, ratio, word_tokens
 from ..functions.vectors import nearest
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -27,16 +32,32 @@ def top_k(scored: DataFrame, k: int, source: str | Column, order: list[Column] |
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "rank", "score", named.alias("source"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = re.compile(WORD_PATTERN).findall
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            b = batch.slice(at, 256)
+            counts = [Counter(w.lower() for w in words(t or "")) for t in b.column("text").to_pylist()]
+            row = [i for i, c in enumerate(counts) for _ in range(len(c) or 1)]
+            size = [sum(c.values()) for c in counts]
+            tokens = [w for c in counts for w in (c or (None,))]
+            tf = [n for c in counts for n in (c.values() or (0,))]
+            head = [int(k == 0) for c in counts for k in range(len(c) or 1)]
+            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(row)), pa.array(head, pa.int32()), pa.array([size[i] for i in row], pa.int32()), pa.array(tokens, pa.string()), pa.array(tf, pa.int64())], ["item_id", "head", "dl", "token", "tf"])
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(item_id, dl, token, tf): the lexical index, a written table; the corpus is read and cut into tokens once. Texts without a token have one row of token null, so that their length counts."""
-    toks = chunks.select("item_id", word_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    each = toks.select("item_id", F.size("t").alias("dl"), F.explode_outer("t").alias("token"))
-    return written(each.groupBy("item_id", "dl", "token").agg(F.count("token").alias("tf")))
+    """(item_id, head, dl, token, tf): the lexical index, a written table; head is 1 in one row of each text, else 0. Texts without a token have one row of token null.
+
+    A text's tokens are all in one place, so they are counted there, in Arrow batches: the corpus is read once and not shuffled.
+    """
+    kind = chunks.schema["item_id"].dataType.simpleString()
+    return written(chunks.select("item_id", "text").mapInArrow(_counted, f"item_id {kind}, head int, dl int, token string, tf long"))
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
     """The idf that every term has before the floor, with the corpus's numbers: (token, df, raw, n, avgdl). index: postings()."""
-    sizes = index.groupBy("item_id", "dl").agg(F.lit(1).alias("one")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    sizes = index.agg(F.coalesce(F.sum("head"), F.lit(0)).cast("double").alias("n"), F.sum("tf").cast("double").alias("length")).select("n", F.try_divide("length", "n").alias("avgdl"))
     df = index.where("token is not null").groupBy("token").agg(F.count("*").cast("double").alias("df"))
     return df.crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # sizes: one row
 
