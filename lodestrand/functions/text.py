@@ -155,12 +155,16 @@ def graph_text(label: Column) -> Column:
 
 def bbox_region(box: Column) -> Column:
     """Name of the ninth of the page that the box's centre is in; null unless the box lies within [0, 1] and has an extent."""
-    box = F.when(F.size(box) == 4, box)
-    x, y = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+    at = lambda b, i: F.get(b, F.lit(i))
     third = lambda v, names: F.when(v < 1 / 3, names[0]).when(v > 2 / 3, names[2]).otherwise(names[1])
-    name = F.trim(F.concat_ws(" ", third(y, ("upper", "middle", "lower")), third(x, ("left", "center", "right"))))
-    valid = (box[0] >= 0) & (box[1] >= 0) & (box[2] <= 1) & (box[3] <= 1) & (box[2] > box[0]) & (box[3] > box[1])
-    return F.when(valid, F.when(name == "middle center", "center").otherwise(name))
+
+    def name(b: Column) -> Column:
+        centre = F.struct(((at(b, 0) + at(b, 2)) / 2).alias("x"), ((at(b, 1) + at(b, 3)) / 2).alias("y"))
+        named = F.transform(F.array(centre), lambda c: F.concat_ws(" ", third(c["y"], ("upper", "middle", "lower")), third(c["x"], ("left", "center", "right"))))[0]
+        valid = (F.size(b) == 4) & (at(b, 0) >= 0) & (at(b, 1) >= 0) & (at(b, 2) <= 1) & (at(b, 3) <= 1) & (at(b, 2) > at(b, 0)) & (at(b, 3) > at(b, 1))
+        return F.when(valid, F.regexp_replace(named, "^middle center$", "center"))
+
+    return F.transform(F.array(box), name)[0]
 
 
 def source_family(source: Column) -> Column:

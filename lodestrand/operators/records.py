@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import written
 from ..functions.ids import sha_id
 from ..functions.text import bbox_region, casefold, squeeze_ws, trim_ellipsis
 from ..functions.vectors import hashed_vector
@@ -80,6 +81,15 @@ def asset_text() -> Column:
     return F.array_join(asset_parts(), "\n")
 
 
+def spoken(assets: DataFrame) -> DataFrame:
+    """assets with all that each says as column said, a written table: what is made of many assets in many ways makes their texts once."""
+    return assets if "said" in assets.columns else written(assets.withColumn("said", asset_text()))
+
+
+def _said(assets: DataFrame) -> Column:
+    return F.col("said") if "said" in assets.columns else asset_text()
+
+
 def object_records(assets: DataFrame, cap: int = OBJECTS) -> DataFrame:
     """assets with one row for each object, and each visual element taken for one: (object_id, object_index, o, feature, text).
 
@@ -131,7 +141,7 @@ def visual_context(links: DataFrame, assets: DataFrame, limit: int = 700) -> Dat
     """(chunk_id, context): a line for each linked asset that says something, in order of pos, cut at limit characters. links(chunk_id, asset_id, pos)."""
     # of a chunk's lines only what fits is told: no more than the first limit + 2 characters of each line count
     head = F.concat(F.lit("- "), "kind", F.lit(" page "), F.col("page_no").cast("string"), F.lit(": "))
-    short = assets.select("asset_id", let(asset_text(), lambda t: F.when(t != "", F.left(squeeze_ws(F.concat(head, t)), F.lit(limit + 2)))).alias("line")).where("line is not null")
+    short = assets.select("asset_id", let(_said(assets), lambda t: F.when(t != "", F.left(squeeze_ws(F.concat(head, t)), F.lit(limit + 2)))).alias("line")).where("line is not null")
     x = links.join(short, "asset_id").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "asset_id", "line"))).alias("ls"))
     return x.select("chunk_id", trim_ellipsis(F.array_join(F.transform("ls", lambda s: s["line"]), " "), limit).alias("context"))
 
@@ -162,13 +172,13 @@ def _visual(rows: DataFrame, ident: Column, title: Column) -> DataFrame:
 
 def asset_chunks(assets: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
     """A chunk for each asset that says something: (chunk_id, doc, page_start, page_end, kind, text, asset_id, unlinked). links(chunk_id, ord, asset_id)."""
-    at = _under(assets.withColumn("said", asset_text()), chunks, links)
+    at = _under(assets.withColumn("said", _said(assets)), chunks, links)
     return _visual(at, sha_id(20, F.coalesce("parent_id", F.lit("unlinked")), F.lit("visual"), F.col("asset_id")), F.lit(None).cast("string"))
 
 
-def object_chunks(assets: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
-    """A chunk for each object, as asset_chunks() for each asset."""
-    at = _under(object_records(assets), chunks, links).withColumn("said", F.col("text"))
+def object_chunks(objects: DataFrame, chunks: DataFrame, links: DataFrame) -> DataFrame:
+    """A chunk for each object, as asset_chunks() for each asset. objects: object_records()."""
+    at = _under(objects, chunks, links).withColumn("said", F.col("text"))
     return _visual(at, sha_id(20, F.coalesce("parent_id", F.lit("unlinked")), F.lit("visual-object"), F.col("object_id")), F.concat(F.lit("Visual object: "), _plain(F.col("o.label"))))
 
 
@@ -191,10 +201,11 @@ def strategies(chunks: DataFrame, assets: DataFrame, links: DataFrame, **split:
     page: chunks with their prefix. semantic: these split. multimodal: split with what is seen on them, and the assets' chunks. object_aware: that and the objects' chunks.
     hierarchical: parents and children, and the chunks of assets that no chunk links. chunks(chunk_id, doc, page_start, page_end, kind, text, section), links(chunk_id, ord, asset_id).
     """
+    chunks, links, assets = written(chunks), written(links), spoken(assets)  # each is read by several strategies
     lead = contextualised(chunks)
-    context = visual_context(links.select("chunk_id", "asset_id", F.lit(0).alias("pos")), assets)
-    seen = split_chunks(with_context(lead, context), **split)
-    visual, objects = asset_chunks(assets, chunks, links), object_chunks(assets, chunks, links)
+    context = written(visual_context(links.select("chunk_id", "asset_id", F.lit(0).alias("pos")), assets))
+    seen = written(split_chunks(with_context(lead, context), **split))
+    visual, objects = written(asset_chunks(assets, chunks, links)), object_chunks(object_records(assets), chunks, links)
     parts = {"page": [lead], "semantic": [split_chunks(lead, **split)], "multimodal": [seen, visual], "object_aware": [seen, visual, objects], "hierarchical": [hierarchy(lead, context, **split), visual.where("unlinked")]}
     out = None
     for name, own in parts.items():
@@ -225,8 +236,9 @@ def record_sets(chunks: DataFrame, assets: DataFrame, links: DataFrame, triples:
 
     A record's chunk_id is its chunk, the asset's id where it is an asset, and for triples the first chunk that they are of. triples(triple_id, chunk_id, doc, and the columns of triple_text()).
     """
+    assets = spoken(assets)
     text = vector_records(chunks.select("chunk_id", "kind", "doc", "text"), "text_dense", "chunk_id", dim)
-    said = assets.select("asset_id", "kind", "doc", asset_text().alias("text"), F.col("asset_id").alias("chunk_id"))
+    said = assets.select("asset_id", "kind", "doc", F.col("said").alias("text"), F.col("asset_id").alias("chunk_id"))
     objects = object_records(assets).select("object_id", F.lit("visual_object").alias("kind"), "doc", "text", F.col("asset_id").alias("chunk_id"))
     told = triples.select("triple_id", F.lit("graph_triple").alias("kind"), "doc", "chunk_id", triple_text().alias("text"))
     out = text.unionByName(vector_records(said, "caption_dense", "asset_id", dim)).unionByName(vector_records(objects, "object_dense", "object_id", dim)).unionByName(vector_records(told, "triple_dense", "triple_id", dim))

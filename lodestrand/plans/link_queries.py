@@ -233,7 +233,7 @@ def k07_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_OBJECTS} SELECT substr(sha256(coalesce(parent, 'unlinked') || ':visual-object:' || asset_id || ':object:' || idx), 1, 20) AS chunk_id, asset_id, ckind AS kind, md5(lead || chr(10) || 'Visual object: ' || label || chr(10) || 'Visual asset kind: ' || kind || chr(10) || 'Asset page: ' || page_no || chr(10) || otext) AS text FROM o1")
 def k05_object_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.object_chunks(rich(spark, sf_dir), *_placed(spark, sf_dir)).select("chunk_id", "asset_id", "kind", F.md5("text").alias("text"))
+    return R.object_chunks(R.object_records(rich(spark, sf_dir)), *_placed(spark, sf_dir)).select("chunk_id", "asset_id", "kind", F.md5("text").alias("text"))
 
 
 @query(rf"""WITH {_SAID}, m AS (SELECT ch.chunk_id, CASE WHEN parts IS NULL THEN [text] ELSE list_concat([text], parts) END AS ps FROM ch LEFT JOIN lk USING (chunk_id) LEFT JOIN tx USING (asset_id)),
