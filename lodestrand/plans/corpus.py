@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.ids import sha_id
 
 
+#: Bytes of a table of texts, as its files have them, up to which its rows are dealt out over the cores; larger ones come in partitions enough.
+_SPREAD_BYTES = 256 << 20
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A small one of texts, which may be a single row group and so a single task's, is dealt out by id."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in _TEXTS and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= _SPREAD_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism, _TEXTS[name])
+    return df
 
 
 def numbered(df: DataFrame, group: str, order: str, width: int = 100_000) -> Column:
