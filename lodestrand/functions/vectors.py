@@ -74,23 +74,20 @@ def _best(found: pa.Table, k: int) -> pa.Table:
     return found.filter(pa.array(rank < k))
 
 
-def _search(rows: Callable[[pa.RecordBatch], np.ndarray], queries, k: int, low: float):
-    """Of one task: its k best rows for each query whose cosine is above low. queries: broadcast (ids, unit rows)."""
+def search(score_of: Callable[[pa.RecordBatch], np.ndarray], ids_of: Callable[[], pa.Array], k: int, low: float, rows: int = _ROWS):
+    """For mapInArrow over a corpus with a column item_id: of one task, its k best rows (query_id, item_id, score) for each query, by score to 9 digits above low, then item. score_of gives the scores of a batch's rows for all queries, whose ids ids_of gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = queries.value
-        bar = np.full(len(q), low)
+        ids = ids_of()
+        bar = np.full(len(ids), low)
         held: list[pa.Table] = []
         n = 0
         kind = None
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                b = batch.slice(at, _ROWS)
+            for at in range(0, batch.num_rows, rows):
+                b = batch.slice(at, rows)
                 kind = b.schema.field("item_id").type
-                m = rows(b)
-                if m.shape[1] != q.shape[1]:
-                    raise ValueError(f"vectors of {m.shape[1]} numbers against queries of {q.shape[1]}")
-                score = np.round(m @ q.T, 9)
+                score = np.round(score_of(b), 9)
                 # equal scores stay: which of them counts is decided by item
                 i, j = np.nonzero((score >= bar) & (score > low))
                 held.append(pa.table({"query": pa.array(j), "item_id": b.column("item_id").take(pa.array(i)), "score": pa.array(score[i, j])}))
@@ -99,8 +96,8 @@ def _search(rows: Callable[[pa.RecordBatch], np.ndarray], queries, k: int, low:
                     held = [_best(pa.concat_tables(held).combine_chunks(), k)]
                     n = held[0].num_rows
                     query, s = held[0]["query"].to_numpy(), held[0]["score"].to_numpy()
-                    full = np.bincount(query, minlength=len(q)) >= k
-                    least = np.full(len(q), np.inf)
+                    full = np.bincount(query, minlength=len(ids)) >= k
+                    least = np.full(len(ids), np.inf)
                     np.minimum.at(least, query, s)
                     bar = np.where(full, np.maximum(least, low), low)
         if kind is not None and n:
@@ -133,9 +130,19 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, *, text: bool, low: f
             continue
         block = own.to_batches()[0]
         at = spark.sparkContext.broadcast((ids, rows(block)))
-        part = corpus.select("item_id", column).mapInArrow(_search(rows, at, k, low), types)
+
+        def score(b: pa.RecordBatch, at=at) -> np.ndarray:
+            m, q = rows(b), at.value[1]
+            if m.shape[1] != q.shape[1]:
+                raise ValueError(f"vectors of {m.shape[1]} numbers against queries of {q.shape[1]}")
+            return m @ q.T
+
+        part = corpus.select("item_id", column).mapInArrow(search(score, lambda at=at: at.value[0], k, low), types)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], types)
+    return merged(spark.createDataFrame([], types) if out is None else out, k)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of what the tasks of search() found for each query, with their rank."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "rank", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "rank", "score")

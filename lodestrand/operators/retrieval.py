@@ -5,17 +5,20 @@ Hits are (query_id, item_id, rank, score, source). Every ranking has a total ord
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import BROADCAST_BYTES, written
 from ..functions.text import WORD_PATTERN, fusion_family, graph_text, ratio, word_tokens
-from ..functions.vectors import nearest
+from ..functions.vectors import merged, nearest, search
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -38,49 +41,79 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             b = batch.slice(at, 256)
             counts = [Counter(w.lower() for w in words(t or "")) for t in b.column("text").to_pylist()]
-            row = [i for i, c in enumerate(counts) for _ in range(len(c) or 1)]
-            size = [sum(c.values()) for c in counts]
-            tokens = [w for c in counts for w in (c or (None,))]
-            tf = [n for c in counts for n in (c.values() or (0,))]
-            head = [int(k == 0) for c in counts for k in range(len(c) or 1)]
-            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(row)), pa.array(head, pa.int32()), pa.array([size[i] for i in row], pa.int32()), pa.array(tokens, pa.string()), pa.array(tf, pa.int64())], ["item_id", "head", "dl", "token", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([sum(c.values()) for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["item_id", "dl", "tokens", "tfs"])
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(item_id, head, dl, token, tf): the lexical index, a written table; head is 1 in one row of each text, else 0. Texts without a token have one row of token null.
+    """(item_id, dl, tokens, tfs): the lexical index, a row for each text with its distinct tokens and how often it has each, a written table.
 
     A text's tokens are all in one place, so they are counted there, in Arrow batches: the corpus is read once and not shuffled.
     """
     kind = chunks.schema["item_id"].dataType.simpleString()
-    return written(chunks.select("item_id", "text").mapInArrow(_counted, f"item_id {kind}, head int, dl int, token string, tf long"))
+    return written(chunks.select("item_id", "text").mapInArrow(_counted, f"item_id {kind}, dl int, tokens array<string>, tfs array<long>"))
 
 
 def corpus_stats(index: DataFrame) -> DataFrame:
     """The idf that every term has before the floor, with the corpus's numbers: (token, df, raw, n, avgdl). index: postings()."""
-    sizes = index.agg(F.coalesce(F.sum("head"), F.lit(0)).cast("double").alias("n"), F.sum("tf").cast("double").alias("length")).select("n", F.try_divide("length", "n").alias("avgdl"))
-    df = index.where("token is not null").groupBy("token").agg(F.count("*").cast("double").alias("df"))
+    sizes = index.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    df = index.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").cast("double").alias("df"))
     return df.crossJoin(F.broadcast(sizes)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # sizes: one row
 
 
-def bm25_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, item_id, score) where above 0: Okapi BM25 with an idf floor, plus the share of the query's terms that occur.
+#: Bytes of the weights of a block of queries, as a task has them.
+_WEIGHT_BYTES = 64 << 20
 
-    index: postings(), queries(query_id, text). Only the queries' tokens are joined to postings. An empty corpus has no hits.
+
+def bm25_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best texts of every query, as hits, where the score is above 0: Okapi BM25 with an idf floor, not below 0, plus the share of the query's distinct terms that occur.
+
+    index: postings(), queries(query_id, text). Queries go to the tasks in blocks of a bounded size; for each the index is read once and multiplied by the block's weights, and every task keeps its k best for each query, so
+    that common words cost a product and not a shuffle. An empty corpus has no hits.
     """
+    spark = index.sparkSession
+    types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {index.schema['item_id'].dataType.simpleString()}, score double"
     idf = written(corpus_stats(index))
-    floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"))
-    asked = queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
+    floor = idf.agg((F.avg("raw") * EPSILON).alias("floor"), F.first("avgdl").alias("mean"))
+    asked = written(queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf")))
     terms = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    weight = idf.join(checked(asked.select("token").distinct()), "token").crossJoin(F.broadcast(floor)).select("token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")  # floor: one row
-    gain = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = index.join(checked(written(asked.join(weight, "token"))), "token").select("query_id", "item_id", gain.alias("gain"))
-    raw = scored.groupBy("query_id", "item_id").agg(F.sum("gain").alias("raw"), F.count("*").alias("shared"))
-    finite = F.when(F.isnan("raw") | (F.abs("raw") == float("inf")), 0.0).otherwise(F.greatest(F.col("raw"), F.lit(0.0)))
-    return raw.join(checked(terms, 16), "query_id").select("query_id", "item_id", (finite + F.col("shared") / F.col("terms")).alias("score")).where("score > 0")
-
-
-def bm25_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(bm25_scores(index, queries), k, "bm25")
+    known = idf.join(checked(asked.select("token").distinct()), "token").crossJoin(F.broadcast(floor)).select("token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "mean")  # floor: one row
+    weight = written(asked.join(known, "token").join(terms, "query_id").select("query_id", "token", (F.col("qf") * F.col("idf")).alias("w"), (1.0 / F.col("terms")).alias("share"), "mean"))
+    pairs, count, mean = weight.agg(F.count("*"), F.count_distinct("query_id"), F.max("mean")).first()
+    blocks = max(1, math.ceil(math.sqrt(16 * pairs * count / _WEIGHT_BYTES)))
+    out = None
+    for i in range(blocks if pairs else 0):
+        own = weight.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # a block's pairs are bounded
+        if not own.num_rows:
+            continue
+        queried, named = (own[c].combine_chunks().dictionary_encode() for c in ("query_id", "token"))
+        at = spark.sparkContext.broadcast((queried.dictionary, named.dictionary, queried.indices.to_numpy(), named.indices.to_numpy(), own["w"].to_numpy(), own["share"].to_numpy()))
+        part = index.mapInArrow(search(_bm25_scores(at, mean), lambda at=at: at.value[0], k, 0.0, 128), types)
+        out = part if out is None else out.unionByName(part)
+    return merged(spark.createDataFrame([], types) if out is None else out, k).withColumn("source", F.lit("bm25"))
+
+
+def _bm25_scores(at, mean: float):
+    """The scores of a batch of the index for a block of queries: (ids, tokens, and for each pair of them which query, which token, weight, share)."""
+    made: dict[str, np.ndarray] = {}
+
+    def score(b: pa.RecordBatch) -> np.ndarray:
+        ids, vocabulary, q, v, w, share = at.value
+        if not made:
+            made["w"], made["share"] = np.zeros((len(vocabulary), len(ids))), np.zeros((len(vocabulary), len(ids)))
+            made["w"][v, q], made["share"][v, q] = w, share
+        tokens = b.column("tokens")
+        row = np.repeat(np.arange(b.num_rows), np.diff(tokens.offsets.to_numpy()))
+        where = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy()
+        hit = where >= 0
+        row, where, tf = row[hit], where[hit], b.column("tfs").flatten().to_numpy()[hit].astype(np.float64)
+        x, there = np.zeros((b.num_rows, len(vocabulary))), np.zeros((b.num_rows, len(vocabulary)))
+        dl = b.column("dl").to_numpy()[row]
+        x[row, where] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+        there[row, where] = 1.0
+        raw = x @ made["w"]
+        return np.where(np.isfinite(raw), np.maximum(raw, 0.0), 0.0) + there @ made["share"]
+
+    return score
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, dim: int = 384, source: str = "dense") -> DataFrame:
@@ -115,10 +148,10 @@ def related_terms(triples: DataFrame, queries: DataFrame, limit: int = 12) -> Da
     changed over; a predicate in the query gives both ends 1.
     """
     q = queries.select("query_id", F.lower("text").alias("q")).withColumn("qt", F.filter(F.split("q", r"\s+"), lambda x: x != ""))
-    x = triples.select("subject", "predicate", "object").crossJoin(checked(q, 256))
-    meets = lambda c: F.contains(F.col("q"), F.lower(F.col(c))) | F.exists("qt", lambda w: F.contains(F.lower(F.col(c)), w))
+    x = triples.select("subject", "predicate", "object", *[F.lower(c).alias(f"low_{c}") for c in ("subject", "predicate", "object")]).crossJoin(checked(q, 256))
+    meets = lambda c: F.contains(F.col("q"), F.col(f"low_{c}")) | F.exists("qt", lambda w: F.contains(F.col(f"low_{c}"), w))
     point = lambda cond, terms: F.when(cond, F.array(*[F.struct(F.col(c).alias("term"), F.lit(n).alias("n")) for c, n in terms]))
-    gains = F.array(point(meets("subject"), [("object", 2), ("predicate", 1)]), point(meets("object"), [("subject", 2), ("predicate", 1)]), point(F.contains(F.col("q"), F.lower("predicate")), [("subject", 1), ("object", 1)]))
+    gains = F.array(point(meets("subject"), [("object", 2), ("predicate", 1)]), point(meets("object"), [("subject", 2), ("predicate", 1)]), point(F.contains(F.col("q"), F.col("low_predicate")), [("subject", 1), ("object", 1)]))
     flat = x.select("query_id", F.explode(F.flatten(F.array_compact(gains))).alias("g")).groupBy("query_id", F.col("g.term").alias("term")).agg(F.sum("g.n").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "term")
     return flat.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -57,7 +57,8 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
     one = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("chunk_id"), F.col("s_name").alias("subject"), F.lit("located_in").alias("predicate"), F.col("n_name").alias("object"), F.round(F.least(F.abs("s_acctbal") / 10000, F.lit(1.0)), 4).alias("confidence"))  # nations are 25
     two = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("chunk_id"), F.col("n_name").alias("subject"), F.lit("part_of").alias("predicate"), F.col("r_name").alias("object"), F.lit(None).cast("double").alias("confidence"))  # regions are 5
-    return one.unionByName(two).select(sha_id(24, F.col("chunk_id"), F.col("subject"), F.col("predicate"), F.col("object")).alias("triple_id"), "*")
+    t = one.unionByName(two).select(sha_id(24, F.col("chunk_id"), F.col("subject"), F.col("predicate"), F.col("object")).alias("triple_id"), "*")
+    return t.repartition(spark.sparkContext.defaultParallelism, "triple_id")  # short rows, each of which meets every query
 
 
 TRIPLES = """tr0 AS (SELECT 's' || s_suppkey AS chunk_id, s_name AS subject, 'located_in' AS predicate, n_name AS object, round(least(abs(s_acctbal) / 10000, 1.0), 4) AS confidence

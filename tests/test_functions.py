@@ -101,8 +101,8 @@ def test_entity_names(spark):
 def test_empty_corpus_has_no_hits(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     q = spark.createDataFrame([(1, "word")], "query_id long, text string")
-    assert R.bm25_scores(R.postings(none), q).collect() == [] and R.dense_topk(none, q, 3).collect() == [] and R.dense_topk(q.withColumnRenamed("query_id", "item_id"), q.limit(0), 3).collect() == []
-    assert R.bm25_scores(R.postings(q.select(F.col("query_id").alias("item_id"), "text")), none.select(F.col("item_id").alias("query_id"), "text")).collect() == []
+    assert R.bm25_topk(R.postings(none), q, 3).collect() == [] and R.dense_topk(none, q, 3).collect() == [] and R.dense_topk(q.withColumnRenamed("query_id", "item_id"), q.limit(0), 3).collect() == []
+    assert R.bm25_topk(R.postings(q.select(F.col("query_id").alias("item_id"), "text")), none.select(F.col("item_id").alias("query_id"), "text"), 3).collect() == []
 
 
 def test_bm25_against_plain_python(spark):
@@ -123,7 +123,7 @@ def test_bm25_against_plain_python(spark):
             s = max(s, 0) + len(set(t.split()) & set(d)) / len(set(t.split()))
             if s > 0:
                 want[q, i] = round(s, 9)
-    got = {(x["query_id"], x["item_id"]): round(x["score"], 9) for x in R.bm25_scores(R.postings(spark.createDataFrame(docs, "item_id long, text string")), spark.createDataFrame(qs, "query_id long, text string")).collect()}
+    got = {(x["query_id"], x["item_id"]): round(x["score"], 9) for x in R.bm25_topk(R.postings(spark.createDataFrame(docs, "item_id long, text string")), spark.createDataFrame(qs, "query_id long, text string"), 99).collect()}
     assert got == want
 
 
