@@ -16,6 +16,11 @@ too high; nothing else is approximate, and no candidate is capped.
    them. Each fragment by itself counts the overlap of every candidate pair; the partial counts are summed per pair.
    Fragments are further divided by bucket of the pair, so that a task's share stays within memory as data grows: a group of
    many pairs is laid out as a square of buckets, by hash of either side.
+5. Groups. An n-gram that more than _SHORT sets have among their first ones makes no candidates: the sets connected by such n-grams
+   are a group, cut into blocks, and two blocks that share such an n-gram (and each block with itself) are a cell, in which all
+   overlaps are counted at once, as a product of matrices. A cell gives a row for each of its sets: how many documents it is linked to
+   there, and a set that it is connected to. So m variants of one text cost m * m / 2 multiplications of bits, but never as many rows.
+   A pair whose blocks are a cell is no candidate in 3.
 
 Result of near(): one row for each doc_id: doc_id, class_id, the smallest doc_id that it is linked to through any number of pairs (its
 own if none), and n_links, the number of other documents of which it has Jaccard similarity t at least. Rows grow with the documents, where pairs written
@@ -50,6 +55,10 @@ _BLOCK_DOCS = 1 << 14
 #: Candidate n-grams of one bucket of one fragment that a task takes, about.
 _BUCKET_GRAMS = 2_000_000
 _DOC_BITS = np.uint64(16)
+#: Sets with one n-gram among their first ones that are compared pair by pair; if there are more, they are compared in blocks.
+_SHORT = 32
+#: N-grams of a block of a group, about, where each set counts as the second number at least; n-grams multiplied at once.
+_CELL_GRAMS, _SET_GRAMS, _STRIP = 1 << 20, 512, 512
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -227,8 +236,148 @@ def _overlaps(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a[some], "b": b[some], "n": out[some]})
 
 
-def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b, overlap, size_a, size_b, jaccard) of all pairs of sets with Jaccard t at least, a written table. reps: (set, size, grams)."""
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Blocks as rows: the names of their sets, sizes and numbers of documents; the n-grams that occur; those of each set, by place among these."""
+    rows = []
+    for block, part in pdf.groupby("block"):
+        part = part.sort_values("set")
+        grams, which = np.unique(np.concatenate([np.asarray(p, np.int64) for p in part["places"]]), return_inverse=True)
+        lens = part["places"].map(len).to_numpy(np.uint64)
+        rows.append((block, *[part[c].to_numpy(np.int64).tobytes() for c in ("set", "size", "own")], *[squeeze(x.astype(np.uint64)) for x in (lens, deltas(grams), which)]))
+    return pd.DataFrame(rows, columns=["block", "sets", "sizes", "own", "lens", "grams", "which"])
+
+
+class _Block:
+    """A row of _packed(): its n-grams in order, each with the sets that have it."""
+
+    def __init__(self, row) -> None:
+        self.sets, self.sizes, self.own = (np.frombuffer(x, np.int64) for x in (row.sets, row.sizes, row.own))
+        self.grams = np.cumsum(unsqueeze(row.grams), dtype=np.uint64)
+        which = unsqueeze(row.which).astype(np.int64)
+        self.rows = np.repeat(np.arange(len(self.sets)), unsqueeze(row.lens).astype(np.int64))[np.argsort(which, kind="stable")]
+        self.count = np.bincount(which, minlength=len(self.grams))
+
+    def having(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in grams, set) of the sets that have these n-grams."""
+        k = self.count[grams]
+        start = (np.cumsum(self.count) - self.count)[grams]
+        return np.repeat(np.arange(len(grams)), k), self.rows[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(start, k)]
+
+
+def _cell_overlaps(a: _Block, b: _Block) -> np.ndarray:
+    """The overlap of each set of a with each of b: n-grams of many sets by products of matrices, those of few pair by pair."""
+    m, n = len(a.sets), len(b.sets)
+    _, ga, gb = np.intersect1d(a.grams, b.grams, assume_unique=True, return_indices=True)
+    if a is b:
+        ga = gb = ga[a.count[ga] > 1]
+    dense = a.count[ga] * b.count[gb] * 128 >= m * n
+    out = np.zeros((m, n), np.int32)
+    da, db = ga[dense], gb[dense]
+    for i in range(0, len(da), _STRIP):
+        x, y = np.zeros((m, _STRIP), np.float32), np.zeros((n, _STRIP), np.float32)
+        for z, side, grams in ((x, a, da), (y, b, db)):
+            g, row = side.having(grams[i : i + _STRIP])
+            z[row, g] = 1
+        out += (x @ y.T).astype(np.int32)
+    g, left = a.having(ga[~dense])
+    _, right = b.having(gb[~dense])
+    k = b.count[gb[~dense]]
+    start, ends = (np.cumsum(k) - k)[g], np.cumsum(k[g])
+    i = 0
+    while i < len(g):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + max(m * n, 1 << 18))))
+        times = k[g[i:j]]
+        pos = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[i:j], times)
+        out += np.bincount(np.repeat(left[i:j], times) * n + right[pos], minlength=m * n).reshape(m, n).astype(np.int32)
+        i = j
+    return out
+
+
+def _roots(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a matrix of links, a row that it is connected to, the same one for all connected; -1 if it has no link."""
+    rows = np.full(len(linked), -1)
+    cols = rows if same else np.full(linked.shape[1], -1)
+    for i in np.flatnonzero(linked.any(axis=1)):
+        if rows[i] >= 0:
+            continue
+        rows[i], now = i, np.array([i])
+        while len(now):
+            new = np.flatnonzero(linked[now].any(axis=0) & (cols < 0))
+            cols[new] = i
+            now = new
+            if not same:
+                now = np.flatnonzero(linked[:, new].any(axis=1) & (rows < 0))
+                rows[now] = i
+    return rows, cols
+
+
+def _cell(a: _Block, b: _Block, t: float, pairs: bool) -> pd.DataFrame:
+    """Of one cell: (a, b, overlap, size_a, size_b) of its pairs, or (a, b, n): a set with links, a set that it is connected to, its number of linked documents."""
+    overlap = _cell_overlaps(a, b)
+    linked = np.zeros(overlap.shape, bool)
+    na, nb = np.zeros(len(a.sets)), np.zeros(len(b.sets))
+    for i in range(0, len(a.sets), 256):
+        o = overlap[i : i + 256]
+        linked[i : i + 256] = (o > 0) & (o / (a.sizes[i : i + 256, None] + b.sizes[None, :] - o) >= t - 1e-9)
+        if a is b:
+            k = np.arange(i, min(i + 256, len(a.sets)))
+            linked[k, k] = False
+        x = linked[i : i + 256].astype(np.float64)
+        na[i : i + 256] = x @ b.own
+        nb += a.own[i : i + 256] @ x
+    if pairs:
+        i, j = np.nonzero(np.triu(linked) if a is b else linked)
+        x, y = a.sets[i], b.sets[j]
+        turn = x > y
+        size = np.where(turn, b.sizes[j], a.sizes[i]), np.where(turn, a.sizes[i], b.sizes[j])
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "overlap": overlap[i, j].astype(np.int64), "size_a": size[0], "size_b": size[1]})
+    rows, cols = _roots(linked, a is b)
+    i, j = np.flatnonzero(rows >= 0), np.flatnonzero(cols >= 0)[: 0 if a is b else None]
+    return pd.DataFrame({"a": np.r_[a.sets[i], b.sets[j]], "b": a.sets[np.r_[rows[i], cols[j]]], "n": np.r_[na[i], nb[j]].astype(np.int64)})
+
+
+def _cells(t: float, pairs: bool):
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (ba, bb), part in pdf.groupby(["ba", "bb"]):
+            sides = {row.block: _Block(row) for row in part.itertuples()}
+            out.append(_cell(sides[ba], sides[bb], t, pairs))
+        trim()
+        return pd.concat(out)
+
+    return each
+
+
+def _groups(heads: DataFrame, own: DataFrame | None, ordered: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """Of the n-grams that too many sets have among their first ones: they (p); (set, block); blocks; cells (ba, bb): written tables. heads: (set, size, p)."""
+    long = written(heads.groupBy("p").agg(F.count("*").alias("c"), F.min("set").alias("m")).where(F.col("c") > _SHORT))
+    if not long.head(1):
+        return None
+    lists = written(heads.join(sized(long, 32), "p").select("p", "c", "m", "set", "size"))
+    component = connected_components(lists.select("set", "m").distinct(), "set", "m")
+    # in the order of its longest list a group's blocks have few lists in common with others, if it has several parts
+    own_list = lists.groupBy("set").agg(F.max(F.struct("c", "p")).alias("longest"), F.greatest(F.max("size"), F.lit(_SET_GRAMS)).alias("w"))
+    all_of = Window.partitionBy("component")
+    up_to = all_of.orderBy("longest", "w", "set").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = own_list.join(component, F.col("set") == F.col("node")).withColumn("total", F.sum("w").over(all_of)).withColumn("before", F.sum("w").over(up_to) - F.col("w"))
+    at = at.withColumn("blocks", F.ceil(F.col("total") / _CELL_GRAMS)).withColumn("part", F.floor(F.col("before") * F.col("blocks") / F.col("total")))
+    at = written(at.select("set", "w", (F.col("blocks") > 1).alias("cut"), F.min("set").over(Window.partitionBy("component", "part")).alias("block")))
+    bins = max(1, -(-at.agg(F.sum("w")).first()[0] // _CELL_GRAMS))
+    of = sized(at, 32)
+    docs = of.select("set", "block", "cut").withColumn("own", F.lit(1)) if own is None else own.join(of, "set").select("set", "block", "cut", "own")
+    one = F.when(F.col("cut"), F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(bins)))
+    filled = ordered.join(sized(written(docs), 32), "set").select(one.alias("bin"), "block", "set", "size", "own", "places")
+    blocks = written(filled.groupBy("bin").applyInPandas(_packed, "block long, sets binary, sizes binary, own binary, lens binary, grams binary, which binary"))
+    marks = lists.join(of.where("cut").select("set", "block"), "set").select("p", "block").distinct()
+    cross = marks.withColumnRenamed("block", "ba").join(marks.withColumnRenamed("block", "bb"), "p").where("ba < bb").select("ba", "bb").distinct()
+    cells = written(cross.union(at.select("block", "block").distinct()))
+    drop_written(lists)
+    return long.select("p"), at.select("set", "block"), blocks, cells
+
+
+def class_links(reps: DataFrame, t: float, segments: int = SEGMENTS, own: DataFrame | None = None, pairs: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Two written tables: (a, b, overlap, size_a, size_b) of all pairs of sets with Jaccard t at least, but for those of the cells of groups; and what
+    _cell() says of the cells, None if there are no groups. reps: (set, size, grams), own: (set, own), the number of documents of each set."""
     grams = reps.select("set", "size", F.explode("grams").alias("g"))
     df = grams.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
     # place in the global order: rare first, then by hash
@@ -238,10 +387,32 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
     # the n-grams of one set only come first in the order and can't be shared
     head = (F.col("size") - need + 1 - (F.col("size") - F.size("places"))).cast("int")
     heads = ordered.where(head > 0).select("set", "size", F.explode(F.slice("places", F.lit(1), head)).alias("p"))
-    x = heads.select("p", F.col("set").alias("a"), F.col("size").alias("na"))
-    y = heads.select("p", F.col("set").alias("b"), F.col("size").alias("nb"))
+    groups, counted = _groups(heads, own, ordered), None
+    if groups:
+        long, at, blocks, cells = groups
+        kept = sized(cells, 24)
+        key = F.when(F.col("ba") < F.col("bb"), F.xxhash64("ba", "bb")).otherwise(F.pmod(F.xxhash64("ba"), F.lit(max(1, -(-at.count() * _SET_GRAMS // _CELL_GRAMS)))))
+        asked = kept.select("ba", "bb", key.alias("key"), F.explode(F.array_distinct(F.array("ba", "bb"))).alias("block"))
+        rows = "a long, b long, overlap long, size_a long, size_b long" if pairs else "a long, b long, n long"
+        counted = written(blocks.join(asked, "block").groupBy("key").applyInPandas(_cells(t, pairs), rows))
+        heads = heads.join(sized(long, 16), "p", "left_anti").join(sized(at, 24), "set", "left")
+    else:
+        heads = heads.withColumn("block", F.lit(None).cast("long"))
+    x = heads.select("p", F.col("set").alias("a"), F.col("size").alias("na"), F.col("block").alias("xa"))
+    y = heads.select("p", F.col("set").alias("b"), F.col("size").alias("nb"), F.col("block").alias("xb"))
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t) - F.lit(1e-9)
-    pairs = written(x.join(y, "p").where((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct())
+    apart = F.coalesce(F.col("xa") != F.col("xb"), F.lit(True))
+    met = x.join(y, "p").where((F.col("a") < F.col("b")) & fits & apart).select("a", "b", "na", "nb", "xa", "xb").distinct()
+    if groups:
+        met = met.join(kept, (F.least("xa", "xb") == F.col("ba")) & (F.greatest("xa", "xb") == F.col("bb")) & F.col("xa").isNotNull() & F.col("xb").isNotNull(), "left_anti")
+    near = written(met.select("a", "b", "na", "nb"))
+    out = _verified(near, ordered, t, segments)
+    drop_written(ordered, near, *(groups[2:] if groups else ()))
+    return out, counted
+
+
+def _verified(pairs: DataFrame, ordered: DataFrame, t: float, segments: int) -> DataFrame:
+    """(a, b, overlap, size_a, size_b) of the candidates with Jaccard t at least, a written table. pairs: (a, b, na, nb), ordered: (set, size, places)."""
     room = _BUCKET_GRAMS * segments
     stats = pairs.agg(F.sum(F.col("na") + F.col("nb")).alias("grams")).first()[0] or 0
     buckets = max(1, -(-stats // room))
@@ -266,26 +437,28 @@ def class_pairs(reps: DataFrame, t: float, segments: int = SEGMENTS) -> DataFram
     asked = bucketed.select("a", "b", F.col("bucket").alias("for_bucket"), F.explode(F.array(*[F.lit(i) for i in range(segments)])).alias("for_segment"))
     partial = cells.groupBy("bucket", "segment").cogroup(asked.groupBy("for_bucket", "for_segment")).applyInPandas(_overlaps, "a long, b long, n long")
     summed = partial.groupBy("a", "b").agg(F.sum("n").alias("overlap"))
-    got = summed.join(pairs, ["a", "b"]).withColumn("jaccard", F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")))
-    out = written(got.where(F.col("jaccard") >= F.lit(t) - F.lit(1e-9)).select("a", "b", "overlap", F.col("na").alias("size_a"), F.col("nb").alias("size_b"), "jaccard"))
-    drop_written(ordered, pairs, labelled, bucketed)
+    jaccard = F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
+    out = written(summed.join(pairs, ["a", "b"]).where(jaccard >= F.lit(t) - F.lit(1e-9)).select("a", "b", "overlap", F.col("na").alias("size_a"), F.col("nb").alias("size_b")))
+    drop_written(labelled, bucketed)
     return out
 
 
 def found(docs: DataFrame, n: int = N, t: float = T) -> tuple[DataFrame, DataFrame]:
-    """(pairs of sets, members of each set), both written tables."""
+    """(the distinct sets of the documents that may have a partner, the members of each set), both written tables, as of classes()."""
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text <> ''")
     left = sized(prune(own, n, t), 16)
     reps, members = classes(own.join(left, "id", "left_semi"), n)
-    pairs = class_pairs(reps, t)
-    drop_written(reps, left)
-    return pairs, members
+    drop_written(left)
+    return reps, members
 
 
 def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     """(doc_a, doc_b, overlap, size_a, size_b, jaccard): a row for each pair of class representatives, doc_a < doc_b, and one for each other
     member of a class with its representative, the smallest doc_id, at jaccard 1. A member has the pairs of its representative."""
-    pairs, members = found(docs, n, t)
+    sets, members = found(docs, n, t)
+    pairs, more = class_links(sets, t, pairs=True)
+    pairs = (pairs if more is None else pairs.unionByName(more)).withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
+    drop_written(sets)
     reps = written(members.groupBy("set", "size").agg(F.min("id").alias("rep")))
     own = sized(reps.select("set", "rep"), 24)
     between = pairs.join(own.select(F.col("set").alias("a"), F.col("rep").alias("ra")), "a").join(own.select(F.col("set").alias("b"), F.col("rep").alias("rb")), "b").where("ra <> rb")
@@ -297,20 +470,26 @@ def near_pairs(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
 
 def linked(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     """(id, class_id, n_links) of the documents that have a partner: a written table."""
-    pairs, members = found(docs, n, t)
+    reps, members = found(docs, n, t)
     count = written(members.groupBy("set").agg(F.count("*").alias("own")))
     sizes = sized(count, 24)
+    pairs, counted = class_links(reps, t, own=count)
+    drop_written(reps)
     ends = pairs.select("a", "b").union(pairs.select("b", "a"))
-    links = written(ends.join(sizes.select(F.col("set").alias("b"), "own"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("own").alias("links")))
+    each = ends.join(sizes.select(F.col("set").alias("b"), "own"), "b").select("a", "own")
+    joined = pairs.select("a", "b")
+    if counted is not None:
+        each, joined = each.union(counted.select("a", "n")), joined.union(counted.select("a", "b"))
+    links = written(each.groupBy(F.col("a").alias("set")).agg(F.sum("own").alias("links")))
     # a doc_id of several texts joins their sets
     several = members.groupBy("id").agg(F.min("set").alias("a"), F.max("set").alias("m")).where("a <> m").select("id", "a")
     also = members.join(sized(written(several), 24), "id").where("set <> a").select("a", F.col("set").alias("b"))
-    groups = sized(connected_components(pairs.select("a", "b").union(also)), 24)
+    groups = sized(connected_components(joined.union(also)), 24)
     at = members.join(groups, F.col("set") == F.col("node"), "left").select("id", "set", F.coalesce("component", "set").alias("group"))
     at = written(at.join(sizes, "set").join(sized(links, 24), "set", "left").select("id", "group", (F.col("own") - 1 + F.coalesce("links", F.lit(0))).alias("links")))
     first = sized(written(at.groupBy("group").agg(F.min("id").alias("class_id"))), 24)
     out = written(at.join(first, "group").groupBy("id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links")).where("n_links > 0 or class_id <> id"))
-    drop_written(pairs, members, count, links, at)
+    drop_written(pairs, members, count, links, at, *(() if counted is None else (counted,)))
     return out
 
 

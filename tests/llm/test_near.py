@@ -89,6 +89,35 @@ def test_one_group_over_many_buckets(spark, monkeypatch):
     assert told(near.near(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows, near.N, near.T)
 
 
+def one_large_group(seed, variants):
+    """Variants of one text, some of which are copies of another, two texts that share a half of it, and small groups."""
+    r = random.Random(seed)
+    base = ["v%d" % i for i in range(40)]
+    other = base[:25] + ["o%d" % i for i in range(15)]
+    texts = [near_text(r, base, k % 6) for k in range(variants)] + [near_text(r, other, k % 4) for k in range(variants // 3)]
+    texts += texts[::9] + [x[1] for x in random_groups(seed)[:60]]
+    r.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_a_large_group_in_blocks(spark, monkeypatch):
+    rows = one_large_group(6, 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, pairs = expected(rows, near.N, near.T), brute(rows, near.N, near.T)
+    for short, block, strip in ((4, 600, 3), (10, 2000, 512), (40, 1500, 7)):
+        monkeypatch.setattr(near, "_SHORT", short)
+        monkeypatch.setattr(near, "_CELL_GRAMS", block)
+        monkeypatch.setattr(near, "_SET_GRAMS", 30)
+        monkeypatch.setattr(near, "_STRIP", strip)
+        assert told(near.near(df)) == want
+    text, got = dict(rows), near.near_pairs(df).collect()
+    rep = {r["doc_b"]: r["doc_a"] for r in got if r["jaccard"] == 1.0}
+    assert {(r["doc_a"], r["doc_b"]) for r in got if r["jaccard"] < 1} == {(x, y) for x, y in pairs if x not in rep and y not in rep}
+    for row in got:
+        a, b = grams(text[row["doc_a"]], 3), grams(text[row["doc_b"]], 3)
+        assert (row["overlap"], row["size_a"], row["size_b"]) == (len(a & b), len(a), len(b))
+
+
 def test_a_document_of_several_texts_joins_its_classes(spark):
     a, b = "a b c d e f g h", "p q r s t u v w"
     rows = [(5, a), (2, a), (5, b), (9, b), (7, "x y z")]
