@@ -100,6 +100,19 @@ def one_large_group(seed, variants):
     return list(enumerate(texts))
 
 
+def test_a_large_group_gives_no_row_for_each_pair(spark, monkeypatch):
+    rows, written, counts = one_large_group(5, 300), near.written, []
+
+    def counted(df, **options):
+        out = written(df, **options)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "written", counted)
+    assert told(near.near(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows, near.N, near.T)
+    assert max(counts) < 40 * len(rows), counts
+
+
 def test_a_large_group_in_blocks(spark, monkeypatch):
     rows = one_large_group(6, 120)
     df = spark.createDataFrame(rows, "doc_id long, text string")
