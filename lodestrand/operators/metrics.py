@@ -28,9 +28,11 @@ def case_metrics(cases: DataFrame, targets: DataFrame, hits: DataFrame, k: int,
     base = cases.select("query_id").crossJoin(F.broadcast(runs)) if runs is not None else cases.select("query_id")  # a row for each run
     own = targets.groupBy("query_id").agg(F.sum(F.when(~F.col("excluded"), 1).otherwise(0)).alias("expected"), F.sum(F.when(F.col("excluded"), 1).otherwise(0)).alias("barred"))
     met = top.join(targets, ["query_id", "item_id"])
-    gain = F.when(~F.col("excluded"), 1 / F.log2(F.col("rank") + 1.0))
+    # summed in order of rank: runs that find the same ranks have the same gain to the last bit, whatever the order of rows. Up to k ranks
+    ranks = F.array_sort(F.collect_list(F.when(~F.col("excluded"), F.col("rank"))))
+    gain = F.aggregate(ranks, F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1.0))
     found = met.groupBy(*by, "query_id").agg(
-        F.count_distinct(F.when(~F.col("excluded"), F.col("item_id"))).alias("found"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("gain"), F.min(F.when(~F.col("excluded"), F.col("rank"))).alias("first_rank"),
+        F.count_distinct(F.when(~F.col("excluded"), F.col("item_id"))).alias("found"), gain.alias("gain"), F.min(F.when(~F.col("excluded"), F.col("rank"))).alias("first_rank"),
         F.sum(F.when(~F.col("excluded"), 1).otherwise(0)).alias("relevant"), F.sum(F.when(F.col("excluded"), 1).otherwise(0)).alias("excluded_hits"),
     )
     size = top.groupBy(*by, "query_id").agg(F.count("*").alias("hits"))

@@ -157,3 +157,14 @@ def test_search_without_a_source_and_with_one(spark):
     p = spark.createDataFrame([(2, 1)], "child_id long, parent_id long")
     got = [(x["item_id"], x["sources"], x["evidence"]) for x in R.hybrid_search(c, q, k=3, parents=p, rerank=True).orderBy("rank").collect()]
     assert got == [(1, ["bm25", "dense", "rerank:lexical"], [2])]
+
+def test_runs_of_the_same_ranks_tie(spark):
+    """The gains of equal ranks are equal to the last bit, in whatever order the hits lie."""
+    forward, back = list(range(1, 11)), list(range(10, 0, -1))
+    cases = spark.createDataFrame([(q,) for q in range(20)], "query_id long")
+    targets = spark.createDataFrame([(q, i, False) for q in range(20) for i in range(1, 21)], "query_id long, item_id long, excluded boolean").coalesce(1)
+    hits = spark.createDataFrame([(run, q, i, i) for run, order in (("a", forward), ("b", back)) for q in range(20) for i in order], "run string, query_id long, item_id long, rank int").coalesce(1)
+    m = metrics.case_metrics(cases, targets, hits, 10, ("run",)).select("run", "query_id", "ndcg").collect()
+    assert len({r["ndcg"] for r in m}) == 1 and math.isclose(m[0]["ndcg"], sum(1 / math.log2(i + 1) for i in forward) / 20)
+    pairs = metrics.pairwise(metrics.case_metrics(cases, targets, hits, 10, ("run",)), "run", 10).collect()
+    assert [(r["wins"], r["ties"]) for r in pairs] == [(0, 20), (0, 20)]
