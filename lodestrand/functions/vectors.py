@@ -13,33 +13,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import BROADCAST_BYTES, written
+from .batches import numbered, slices
 
 DIM = 384
-#: Tokens whose slots a worker remembers; beyond it starts anew.
-_REMEMBERED = 1 << 20
-_slots: dict[tuple[str, int], int] = {}
 #: Rows of a product, and candidates that a task keeps before it drops those that are too low.
-_ROWS, _HELD = 512, 1 << 20
+_ROWS, _HELD = 512, 1 << 18
 
 
-def slot(token: str, dim: int) -> int:
-    """SHA-256 of the token, as a number, modulo dim."""
-    got = _slots.get((token, dim))
-    if got is None:
-        if len(_slots) >= _REMEMBERED:
-            _slots.clear()
-        got = _slots[token, dim] = int.from_bytes(hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest(), "big") % dim
-    return got
+def slots(tokens: pa.Array, dim: int) -> np.ndarray:
+    """SHA-256 of each token, as a number, modulo dim. Nothing is remembered: a corpus has ever more distinct tokens."""
+    digests = b"".join([hashlib.sha256(t).digest() for t in tokens.cast(pa.binary()).to_numpy(zero_copy_only=False)])
+    out = np.zeros(len(tokens), np.uint64)
+    for word in np.frombuffer(digests, ">u4").reshape(-1, 8).T:
+        out = ((out << np.uint64(32)) + word) % np.uint64(dim)
+    return out.astype(np.int64)
 
 
-def hashed(texts: list[str | None], dim: int = DIM) -> np.ndarray:
-    """A row for each text: its white-space separated tokens counted by slot, to length 1; zeros where there is none."""
-    out = np.zeros((len(texts), dim))
-    for i, t in enumerate(texts):
-        if t:
-            own = np.fromiter((slot(w, dim) for w in t.split()), np.int64)
-            out[i] = np.bincount(own, minlength=dim)
-    return unit(out)
+def hashed(texts: pa.Array | list[str | None], dim: int = DIM) -> np.ndarray:
+    """A row for each text: its white-space separated tokens counted by slot, to length 1; zeros where there is none. Each distinct token is hashed once."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    row, code, words = numbered(pc.utf8_split_whitespace(texts))
+    return unit(np.bincount(row * dim + slots(words, dim)[code], minlength=len(texts) * dim).astype(np.float64).reshape(len(texts), dim))
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -84,15 +78,14 @@ def search(score_of: Callable[[pa.RecordBatch], np.ndarray], ids_of: Callable[[]
         n = 0
         kind = None
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                b = batch.slice(at, rows)
+            for b in slices(batch, rows):
                 kind = b.schema.field("item_id").type
                 score = np.round(score_of(b), 9)
                 # equal scores stay: which of them counts is decided by item
                 i, j = np.nonzero((score >= bar) & (score > low))
                 held.append(pa.table({"query": pa.array(j), "item_id": b.column("item_id").take(pa.array(i)), "score": pa.array(score[i, j])}))
                 n += len(i)
-                if n > _HELD:
+                if n > max(_HELD, 2 * k * len(ids)):
                     held = [_best(pa.concat_tables(held).combine_chunks(), k)]
                     n = held[0].num_rows
                     query, s = held[0]["query"].to_numpy(), held[0]["score"].to_numpy()
@@ -116,7 +109,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, *, text: bool, low: f
     """
     spark = corpus.sparkSession
     column = "text" if text else "vector"
-    rows = (lambda b: hashed(b.column("text").to_pylist(), dim)) if text else (lambda b: stacked(b.column("vector")))
+    rows = (lambda b: hashed(b.column("text"), dim)) if text else (lambda b: stacked(b.column("vector")))
     q = written(queries.select("query_id", column).withColumn("__block", F.lit(0)))
     count = q.count()
     size = 8 * (dim if text else (q.agg(F.max(F.size("vector"))).first()[0] or 1))

@@ -6,8 +6,6 @@ Hits are (query_id, item_id, rank, score, source). Every ranking has a total ord
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import BROADCAST_BYTES, written
-from ..functions.text import WORD_PATTERN, fusion_family, graph_text, ratio, word_tokens
+from ..functions.batches import counted, slices
+from ..functions.text import fusion_family, graph_text, ratio, word_tokens
 from ..functions.vectors import merged, nearest, search
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -36,12 +35,13 @@ def top_k(scored: DataFrame, k: int, source: str | Column, order: list[Column] |
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = re.compile(WORD_PATTERN).findall
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            b = batch.slice(at, 256)
-            counts = [Counter(w.lower() for w in words(t or "")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array([sum(c.values()) for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["item_id", "dl", "tokens", "tfs"])
+        for b in slices(batch):
+            row, code, tf, words = counted(b.column("text"))
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (words.take(pa.array(code)), pa.array(tf, pa.int64()))]
+            dl = np.bincount(row, tf, b.num_rows).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), pa.array(dl), *lists], ["item_id", "dl", "tokens", "tfs"])
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def corpus_stats(index: DataFrame) -> DataFrame:
 
 
 #: Bytes of the weights of a block of queries, as a task has them.
-_WEIGHT_BYTES = 64 << 20
+WEIGHT_BYTES = 64 << 20
 
 
 def bm25_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -79,7 +79,7 @@ def bm25_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     known = idf.join(checked(asked.select("token").distinct()), "token").crossJoin(F.broadcast(floor)).select("token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "mean")  # floor: one row
     weight = written(asked.join(known, "token").join(terms, "query_id").select("query_id", "token", (F.col("qf") * F.col("idf")).alias("w"), (1.0 / F.col("terms")).alias("share"), "mean"))
     pairs, count, mean = weight.agg(F.count("*"), F.count_distinct("query_id"), F.max("mean")).first()
-    blocks = max(1, math.ceil(math.sqrt(16 * pairs * count / _WEIGHT_BYTES)))
+    blocks = max(1, math.ceil(math.sqrt(16 * pairs * count / WEIGHT_BYTES)))
     out = None
     for i in range(blocks if pairs else 0):
         own = weight.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()  # a block's pairs are bounded
@@ -193,9 +193,11 @@ def fuse(hits: DataFrame, k: int, weights: DataFrame | None = None, keys: tuple[
 def lexical_rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """By query coverage plus Jaccard of the token sets of query and chunk; ties keep the fused order."""
     q = queries.select("query_id", F.array_distinct(word_tokens(F.col("text"))).alias("qt"))
-    c = chunks.select("item_id", F.array_distinct(word_tokens(F.col("text"))).alias("ct"))
+    # of the chunks, only those that are to be put in order are taken apart
+    own = checked(written(fused.select("query_id", "item_id", F.col("rank").alias("before"), "sources")), 256)
+    c = chunks.select("item_id", "text").join(own, "item_id").withColumn("ct", F.array_distinct(word_tokens(F.col("text"))))
     both = F.size(F.array_intersect("qt", "ct"))
-    x = c.join(fused.select("query_id", "item_id", F.col("rank").alias("before"), "sources"), "item_id").join(q, "query_id")
+    x = c.join(q, "query_id")
     x = x.withColumn("score", ratio(both, F.size("qt")) + ratio(both, F.size(F.array_union("qt", "ct"))))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "before")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", "rank", "score", F.array_append("sources", F.lit("rerank:lexical")).alias("sources"))

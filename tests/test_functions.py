@@ -155,3 +155,29 @@ def test_components_of_a_long_path_and_loops(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and got[500] == 500 and got[600] == got[601] == 600
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_hashed_vectors_and_counts_against_plain_python_and_remember_nothing():
+    import hashlib
+    import re
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestrand.functions import batches, vectors
+
+    odd = [None, "", "   ", "KK İx ſ a\nB\x1cc", "가나 다A_1 a a", "　x y　", *(f"t{i} t{i} word" for i in range(3000))]
+    want = np.zeros((len(odd), 384))
+    for i, t in enumerate(odd):
+        for w in (t or "").split():
+            want[i, int.from_bytes(hashlib.sha256(w.encode()).digest(), "big") % 384] += 1
+    assert np.array_equal(vectors.hashed(odd), vectors.unit(want)) and vectors.hashed([]).shape == (0, 384)
+    assert not [x for x in vars(vectors).values() if isinstance(x, dict) and len(x) > 1000 and "t5" in str(list(x)[:9])]  # no table of tokens that grows with the corpus
+    row, code, n, words = batches.counted(pa.array(odd))
+    got = [Counter() for _ in odd]
+    for i, j, k in zip(row.tolist(), words.take(pa.array(code)).to_pylist(), n.tolist()):
+        got[i][j] = k
+    assert got == [Counter(w.lower() for w in re.findall("[가-힣A-Za-z0-9_]+", t or "")) for t in odd]
+    parts = list(batches.slices(pa.RecordBatch.from_pydict({"text": ["x" * 10, "y" * 5000, "z"] * 50}), 7, 2000))
+    assert sum(p.num_rows for p in parts) == 150 and all(p.num_rows <= 7 and (p.num_rows == 1 or p.nbytes <= 2000) for p in parts)
