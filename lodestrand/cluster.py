@@ -67,6 +67,16 @@ def sized(table: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> Dat
     return F.broadcast(table) if table.count() * row_bytes <= limit else table
 
 
+def repeated(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """df in two: the rows whose key no other row has, and the others, None if there are none. Only keys are shuffled where they are all different; null counts as a key."""
+    more = written(df.groupBy(F.col(key).alias("__again")).agg(F.count("*").alias("n")).where("n > 1").select("__again"))
+    if not more.take(1):
+        return df, None
+    at = sized(more, 64)
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    return df.join(at, same, "left_anti"), df.join(at, same, "left_semi")
+
+
 #: Rows of an Arrow batch, at most: rows here are whole texts, of which 10,000 would fill a task's memory outside the heap.
 ARROW_ROWS = 1000
 _shipped: set[str] = set()

@@ -286,14 +286,14 @@ def b09_salient_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f16_salient_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to eight terms for every document, none within another where that leaves three."""
     d = corpus(spark, sf_dir)
-    return K.drafted(K.chosen_terms(K.scored_terms(d))).select("item_id", F.array_join("terms", " ").alias("terms"), "query", F.round("score", 6).alias("score"))
+    return K.drafted(K.selected_terms(d)).select("item_id", F.array_join("terms", " ").alias("terms"), "query", F.round("score", 6).alias("score"))
 
 
 @query()
 def k20_page_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case for every document, the first of each query, with the share of its terms that its target has."""
     d = corpus(spark, sf_dir)
-    c = K.first_per(K.page_cases(K.chosen_terms(K.scored_terms(d))), [F.lower("query")], "item_id")
+    c = K.first_per(K.page_cases(K.selected_terms(d)), [F.lower("query")], "item_id")
     return c.join(K.target_overlap(c, d), "case_id").select("case_id", "query", "item_id", F.round("overlap", 6).alias("overlap"))
 
 

@@ -168,3 +168,23 @@ def test_runs_of_the_same_ranks_tie(spark):
     assert len({r["ndcg"] for r in m}) == 1 and math.isclose(m[0]["ndcg"], sum(1 / math.log2(i + 1) for i in forward) / 20)
     pairs = metrics.pairwise(metrics.case_metrics(cases, targets, hits, 10, ("run",)), "run", 10).collect()
     assert [(r["wins"], r["ties"]) for r in pairs] == [(0, 20), (0, 20)]
+
+
+def test_terms_selected_in_place_are_those_of_rows(spark, monkeypatch):
+    """Frequent keys at hand, some of them, none: the same choice as by a row for each term; items of several texts, of none, with terms in both cases."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 12))) for _ in range(60)] + ["the", "Table", "1999", "12", "3.5kg", "x1b2c3d4e5f6", "주택", "한국어", "漢字", "deadbeef42", "Über", "a_b|c_d", "-v1.2.3,"]
+    docs = [(i % 70, " ".join(w.upper() if r.random() < 0.2 else w for w in (r.choice(words) + ("" if r.random() < 0.7 else str(r.randrange(999))) for _ in range(r.randint(1, 60))))) for i in range(80)] + [(101, None), (102, ""), (103, "zz yy"), (None, "some words that stand alone"), (None, "other words")]
+    d = spark.createDataFrame(docs, "item_id long, text string").repartition(3)
+    want = {x["item_id"]: (x["terms"], round(x["score"], 6)) for x in cases.chosen_terms(cases.scored_terms(d)).collect() if x["terms"]}
+    own = {}
+    for x in d.select("item_id", F.explode(cases.term_keys(cases.meaningful_text(F.col("text")))).alias("t")).select("item_id", "t.*").collect():
+        own.setdefault(x["item_id"], set()).add(x["key"])
+    assert {x["item_id"]: set() for x in cases.scored_terms(d).collect()}.keys() == own.keys()
+    keys = defaultdict(set)
+    for x in cases.scored_terms(d).collect():
+        keys[x["item_id"]].add(x["key"])
+    assert dict(keys) == own and len(want) > 60
+    for limit in (1 << 20, 400, 0):
+        monkeypatch.setattr(cases, "_COMMON_BYTES", limit)
+        assert {x["item_id"]: (x["terms"], round(x["score"], 6)) for x in cases.selected_terms(d).collect() if x["terms"]} == want
