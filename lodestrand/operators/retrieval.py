@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import BROADCAST_BYTES, written
+from ..cluster import BROADCAST_BYTES, repeated, written
 from ..functions.batches import counted, slices
 from ..functions.text import fusion_family, graph_text, ratio, word_tokens
 from ..functions.vectors import merged, nearest, search
@@ -53,6 +53,21 @@ def postings(chunks: DataFrame) -> DataFrame:
     return written(chunks.select("item_id", "text").mapInArrow(_counted, f"item_id {kind}, dl int, tokens array<string>, tfs array<long>"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b in slices(batch):
+            row, code, tf, words = counted(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(row)), words.take(pa.array(code)), pa.array(tf, pa.int64())], ["item_id", "token", "tf"])
+
+
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(item_id, token, tf): the lexical index, a row for each token of each item. Counted text by text without a shuffle; only the counts of items that have several texts are added up by one."""
+    kind = chunks.schema["item_id"].dataType.simpleString()
+    found = lambda df: df.mapInArrow(_rows, f"item_id {kind}, token string, tf long")
+    once, more = repeated(chunks.select("item_id", "text"), "item_id")
+    return found(once) if more is None else found(once).unionByName(found(more).groupBy("item_id", "token").agg(F.sum("tf").alias("tf")))
+
+
 def corpus_stats(index: DataFrame) -> DataFrame:
     """The idf that every term has before the floor, with the corpus's numbers: (token, df, raw, n, avgdl). index: postings()."""
     sizes = index.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))

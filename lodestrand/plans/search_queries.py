@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import written
-from ..functions.text import word_tokens
 from ..operators import retrieval as R
 from .corpus import ASKED, TRIPLES, asked, corpus, table, triples
 from .registry import query
@@ -204,7 +203,7 @@ def f14_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, token, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS token FROM documents) GROUP BY ALL")
 def a11_lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(word_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    return R.term_counts(corpus(spark, sf_dir)).select(F.col("item_id").alias("doc_id"), "token", "tf")
 
 
 def _terms_sql(table_: str) -> str:

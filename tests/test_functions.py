@@ -181,3 +181,17 @@ def test_hashed_vectors_and_counts_against_plain_python_and_remember_nothing():
     assert got == [Counter(w.lower() for w in re.findall("[가-힣A-Za-z0-9_]+", t or "")) for t in odd]
     parts = list(batches.slices(pa.RecordBatch.from_pydict({"text": ["x" * 10, "y" * 5000, "z"] * 50}), 7, 2000))
     assert sum(p.num_rows for p in parts) == 150 and all(p.num_rows <= 7 and (p.num_rows == 1 or p.nbytes <= 2000) for p in parts)
+
+
+def test_term_counts_are_not_shuffled_but_for_items_of_several_texts(spark):
+    from lodestrand.operators import retrieval as R
+
+    docs = [(1, "A a b"), (2, ""), (3, None), (4, "x\ny X"), (None, "n n")]
+    d = spark.createDataFrame(docs, "item_id long, text string").repartition(3)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    got = R.term_counts(d)
+    assert rows(got) == sorted([(1, "a", 2), (1, "b", 1), (4, "x", 2), (4, "y", 1), (None, "n", 2)], key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "hashpartitioning" not in plan
+    more = d.unionByName(spark.createDataFrame([(4, "x z"), (None, "n m")], "item_id long, text string"))
+    assert rows(R.term_counts(more)) == sorted([(1, "a", 2), (1, "b", 1), (4, "x", 3), (4, "y", 1), (4, "z", 1), (None, "n", 3), (None, "m", 1)], key=str)
