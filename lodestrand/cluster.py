@@ -49,7 +49,14 @@ def written(df: DataFrame, *, by: list[str] | None = None) -> DataFrame:
     w = df.write.mode("errorifexists")
     (w.partitionBy(*by) if by else w).parquet(path)
     _written.add((spark, path))
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out._lodestrand_written = True
+    return out
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df itself if it is a table of written(), else written."""
+    return df if getattr(df, "_lodestrand_written", False) else written(df)
 
 
 def drop_written(*dfs: DataFrame) -> None:

@@ -17,8 +17,9 @@ def page_chunks(pages: DataFrame, sections: DataFrame | None = None) -> DataFram
     (chunk_id, doc, page_start, page_end, kind, text, section, needs_ocr). pages(doc, page_no, text).
     """
     at = with_section(pages, sections) if sections is not None else pages.withColumn("section", F.lit(None).cast("string"))
-    q = text_quality(F.col("text"))["quality"]
-    good = q == "good"
+    # on its own, so that it is found once and not for each column made of it
+    at = at.withColumn("__good", text_quality(F.col("text"))["quality"] == "good")
+    good = F.col("__good")
     kind = F.when(good, "text").otherwise("page_summary")
     text = F.when(good, clean_lines(F.col("text"))).otherwise(F.concat(F.lit("Page "), F.col("page_no").cast("string"), F.lit(" has no usable text.")))
     return at.select(chunk_id(F.col("doc"), F.col("page_no"), F.col("page_no"), kind, F.lit(0)).alias("chunk_id"), "doc", F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"), kind.alias("kind"), text.alias("text"), "section", (~good).alias("needs_ocr"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import written
+from ..cluster import kept, written
 from ..functions.ids import sha_id
 from ..functions.text import bbox_region, casefold, squeeze_ws, trim_ellipsis
 from ..functions.vectors import hashed_vector
@@ -182,31 +182,41 @@ def object_chunks(objects: DataFrame, chunks: DataFrame, links: DataFrame) -> Da
     return _visual(at, sha_id(20, F.coalesce("parent_id", F.lit("unlinked")), F.lit("visual-object"), F.col("object_id")), F.concat(F.lit("Visual object: "), _plain(F.col("o.label"))))
 
 
-def hierarchy(chunks: DataFrame, context: DataFrame, limit: int = 900, **split: int) -> DataFrame:
-    """Parents, each chunk's text cut at limit characters with what is seen on it, and their children, the pieces of text and context: (chunk_id, parent_id, role, kind, doc, page_start, page_end, text, section)."""
+def hierarchy(chunks: DataFrame, context: DataFrame, limit: int = 900, pieces: DataFrame | None = None, **split: int) -> DataFrame:
+    """Parents, each chunk's text cut at limit characters with what is seen on it, and their children, the pieces of text and context, made here if not given: (chunk_id, parent_id, role, kind, doc, page_start, page_end, text, section)."""
     pid = sha_id(20, F.col("chunk_id"), F.lit("hierarchical"), F.lit("parent"))
     cols = ("kind", "doc", "page_start", "page_end", "text", "section")
     short = chunks.withColumn("text", trim_ellipsis(F.col("text"), limit))
     parents = with_context(short, context).withColumn("kind", F.when(F.col("kind") == "text", "page_summary").otherwise(F.col("kind")))
     parents = parents.select(pid.alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("parent").alias("role"), *cols)
-    pieces = split_chunks(with_context(chunks, context).withColumn("source", F.col("chunk_id")), **split)
-    source = F.col("source")
+    pieces = split_chunks(with_context(chunks, context), **split) if pieces is None else pieces
+    source = F.coalesce("parent_id", "chunk_id")
     kids = pieces.select(sha_id(20, source, F.lit("hierarchical"), F.lit("child"), F.coalesce("idx", F.lit(0))).alias("chunk_id"), sha_id(20, source, F.lit("hierarchical"), F.lit("parent")).alias("parent_id"), F.lit("child").alias("role"), *cols)
     return parents.unionByName(kids)
 
 
+def both_splits(chunks: DataFrame, context: DataFrame, **split: int) -> tuple[DataFrame, DataFrame]:
+    """split_chunks() of chunks, and of chunks with what is seen on them: a written table of both, in which a text that has nothing more is split once."""
+    x = with_context(chunks.withColumn("__plain", F.col("text")), context)
+    same = F.col("text").eqNullSafe(F.col("__plain"))
+    texts = F.when(same, F.array(F.struct(F.lit("both").alias("of"), F.col("text").alias("text")))).otherwise(F.array(F.struct(F.lit("plain").alias("of"), F.col("__plain").alias("text")), F.struct(F.lit("seen").alias("of"), F.col("text").alias("text"))))
+    x = x.select(*[c for c in chunks.columns if c != "text"], F.explode(texts).alias("__x")).select(*[c for c in chunks.columns if c != "text"], F.col("__x.text").alias("text"), F.col("__x.of").alias("__of"))
+    pieces = written(split_chunks(x, **split))
+    return tuple(pieces.where(F.col("__of").isin("both", of)).drop("__of") for of in ("plain", "seen"))
+
+
 def strategies(chunks: DataFrame, assets: DataFrame, links: DataFrame, **split: int) -> DataFrame:
     """Every strategy's chunks in one table: (strategy, chunk_id, doc, page_start, page_end, kind, text).
 
     page: chunks with their prefix. semantic: these split. multimodal: split with what is seen on them, and the assets' chunks. object_aware: that and the objects' chunks.
     hierarchical: parents and children, and the chunks of assets that no chunk links. chunks(chunk_id, doc, page_start, page_end, kind, text, section), links(chunk_id, ord, asset_id).
     """
-    chunks, links, assets = written(chunks), written(links), spoken(assets)  # each is read by several strategies
+    chunks, links, assets = kept(chunks), written(links), spoken(assets)  # each is read by several strategies
     lead = contextualised(chunks)
     context = written(visual_context(links.select("chunk_id", "asset_id", F.lit(0).alias("pos")), assets))
-    seen = written(split_chunks(with_context(lead, context), **split))
+    plain, seen = both_splits(lead, context, **split)
     visual, objects = written(asset_chunks(assets, chunks, links)), object_chunks(object_records(assets), chunks, links)
-    parts = {"page": [lead], "semantic": [split_chunks(lead, **split)], "multimodal": [seen, visual], "object_aware": [seen, visual, objects], "hierarchical": [hierarchy(lead, context, **split), visual.where("unlinked")]}
+    parts = {"page": [lead], "semantic": [plain], "multimodal": [seen, visual], "object_aware": [seen, visual, objects], "hierarchical": [hierarchy(lead, context, pieces=seen), visual.where("unlinked")]}
     out = None
     for name, own in parts.items():
         for p in own:

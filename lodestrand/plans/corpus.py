@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def numbered(df: DataFrame, group: str, order: str, width: int = 100_000) -> Column:
+def numbered(df: DataFrame, group: str, order: str, width: int = 8192) -> Column:
     """df with page_no: the place of each row in its group by a bigint order, from 1. A group is numbered in slices of the order, so a large one isn't sorted in one task."""
     slice_ = F.floor(F.col(order) / width).alias("slice")
     counts = df.groupBy(group, slice_).agg(F.count("*").alias("n"))

@@ -251,7 +251,7 @@ def k02_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _package_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = C.page_chunks(pages(spark, sf_dir), sections(spark, sf_dir))
+    p = written(C.page_chunks(pages(spark, sf_dir), sections(spark, sf_dir)))  # read several times
     a = rich(spark, sf_dir)
     at = p.select("chunk_id", "doc", F.col("page_start").alias("page_no"))
     k = a.where("page_id % 7 <> 0").join(at, ["doc", "page_no"]).select("chunk_id", F.col("page_id").alias("ord"), "asset_id")

@@ -188,3 +188,19 @@ def test_terms_selected_in_place_are_those_of_rows(spark, monkeypatch):
     for limit in (1 << 20, 400, 0):
         monkeypatch.setattr(cases, "_COMMON_BYTES", limit)
         assert {x["item_id"]: (x["terms"], round(x["score"], 6)) for x in cases.selected_terms(d).collect() if x["terms"]} == want
+
+
+def test_texts_are_split_once_for_all_strategies(spark):
+    """Of three chunks one is seen with more: its two texts are split, the others' once; package chunks are numbered once, however often they are read."""
+    from lodestrand.operators.chunks import split_chunks
+    from lodestrand.plans import link_queries
+
+    context = spark.createDataFrame([("c1", "what is seen " * 20), ("c3", ""), ("gone", "x")], "chunk_id string, context string")
+    plain, seen = records.both_splits(chunks(spark), context, size=300, overlap=40, least=30)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(plain) == rows(split_chunks(chunks(spark), 300, 40, 30)) and rows(seen) == rows(split_chunks(records.with_context(chunks(spark), context), 300, 40, 30))
+    assert plain.inputFiles() == seen.inputFiles() and spark.read.parquet(*{f.rpartition("/")[0] for f in plain.inputFiles()}).where("parent_id is null").count() == 2
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan(seen)
+    p, _, k = link_queries._package_chunks(spark, "/root/testdata/sf0.001")
+    assert "Window" not in plan(p) and "Window" not in plan(k.select("chunk_id"))
