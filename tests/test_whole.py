@@ -204,3 +204,16 @@ def test_texts_are_split_once_for_all_strategies(spark):
     assert "ArrowEvalPython" not in plan(seen)
     p, _, k = link_queries._package_chunks(spark, "/root/testdata/sf0.001")
     assert "Window" not in plan(p) and "Window" not in plan(k.select("chunk_id"))
+
+
+def test_holders_join_and_shuffle_no_texts(spark, monkeypatch):
+    """Queries in several blocks, short ones and repeated items among them: each block is a pass over the texts, and only what was found is shuffled."""
+    from lodestrand.plans import metric_queries
+
+    texts = spark.createDataFrame([(1, "a b  c d"), (1, "a b c d e"), (2, "xa b c"), (3, None), (4, "c\nd")], "item_id long, text string")
+    queries = spark.createDataFrame([(7, "a b c"), (8, "c d"), (9, "b"), (10, " "), (11, "a b c d e f")], "query_id long, text string")
+    for limit in (1 << 20, 1):
+        monkeypatch.setattr(metric_queries.R, "WEIGHT_BYTES", limit)
+        got = metric_queries.holders(texts, queries)
+        assert sorted(map(tuple, got.collect())) == [(7, 1), (7, 2), (8, 1), (8, 4), (9, 1), (9, 2)]
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
